@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements that never have content, and elements whose content
 # is no text.
@@ -92,7 +93,7 @@ def _page_text_or_none(html):
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _html_text(pages: pd.Series) -> pd.Series:
     return pages.map(_page_text_or_none)
 

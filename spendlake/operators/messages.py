@@ -15,6 +15,7 @@ from email import policy
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlake.functions import codec
 from spendlake.functions.dates import mail_day
@@ -22,7 +23,12 @@ from spendlake.functions.html import page_text
 from spendlake.functions.replies import field, field_text, kind, strict_object
 from spendlake.functions.text import NO_SUBJECT, UNKNOWN_SENDER, or_default
 
-_FIELDS = "subject string, from_addr string, date_text string, body string, error string"
+_FIELDS = T.StructType(
+    [
+        T.StructField(name, T.StringType())
+        for name in ("subject", "from_addr", "date_text", "body", "error")
+    ]
+)
 _HEADERS = "array<struct<name:string,value:string>>"
 
 
@@ -103,8 +109,8 @@ def _rows(values: pd.Series, read) -> pd.DataFrame:
         except Exception as problem:
             return {"error": f"{type(problem).__name__}"}
 
-    columns = [part.split()[0] for part in _FIELDS.split(", ")]
-    return pd.DataFrame([one(v) for v in values], index=values.index, columns=columns, dtype=object)
+    rows = [one(v) for v in values]
+    return pd.DataFrame(rows, index=values.index, columns=_FIELDS.names, dtype=object)
 
 
 @F.pandas_udf(_FIELDS)
