@@ -16,7 +16,6 @@ _MAIL_DATE = (
     r" (?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?"
     r"(?: (?:[+-](?:[01]\d|2[0-3])[0-5]\d|GMT|UTC))?$"
 )
-_CANONICAL_DAY = r"^\d{4}-\d{2}-\d{2}$"
 _MONTHS = (
     "january february march april may june july august september october november december"
 ).split()
@@ -69,7 +68,8 @@ def canonical_day(text: Column) -> Column:
     For canonical text, order as text is order by day, so a bound on this
     column may stand beside the bound on the text.
     """
-    return F.when(text.rlike(_CANONICAL_DAY), F.try_to_date(text, "yyyy-MM-dd"))
+    day = text.try_cast("date")
+    return F.when((F.length(text) == 10) & (day.cast("string") == text), day)
 
 
 def after_lookback(day: Column, today: datetime.date, days: int = 90) -> Column:

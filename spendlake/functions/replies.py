@@ -129,15 +129,14 @@ def intent_object(reply: Column) -> Column:
 
 def intent_text(obj: Column, key: str) -> Column:
     """A search parameter as text; NULL for every value that means "no filter"."""
-    value = field(obj, key)
-    of_kind = kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    zero = F.try_variant_get(value, "$", "double") == 0
-    is_number = ~of_kind.isin("STRING", "BOOLEAN", "OBJECT", "ARRAY", "VOID")
-    nothing = (
-        (text == "")
-        | ((of_kind == "BOOLEAN") & (text == "false"))
-        | (of_kind.isin("OBJECT", "ARRAY") & text.isin("{}", "[]"))
-        | (is_number & zero)
-    )
-    return F.when(~F.coalesce(nothing, F.lit(True)), text)
+
+    def text(value):
+        shown = F.try_variant_get(value, "$", "string")
+        of_kind = kind(value)
+        empty = {"STRING": [""], "BOOLEAN": ["false"], "OBJECT": ["{}"], "ARRAY": ["[]"]}
+        nothing = F.try_variant_get(value, "$", "double") == 0
+        for name, texts in empty.items():
+            nothing = F.when(of_kind == name, shown.isin(texts)).otherwise(nothing)
+        return F.when(~nothing, shown)
+
+    return _once(field(obj, key), text)

@@ -1,17 +1,25 @@
 """Rows that are not stored yet.
 
 A missing key may be common. Rows without one would all meet in one shuffle
-partition, so they are spread over ``_SPREAD`` partitions. A present key that
-is hot is split by adaptive execution, as nothing stands between the exchange
-of the left side and the join.
+partition, so their join key is one of ``_SPREAD`` stand-ins. A present key
+that is hot is split by adaptive execution, as nothing stands between the
+exchange of the left side and the join.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPREAD = 256
 
 
+def _present(key: Column) -> Column:
+    return F.concat(F.lit("="), key.cast("string"))
+
+
+def _missing(number: Column) -> Column:
+    return F.concat(F.lit("?"), number.cast("string"))
+
+
 def not_stored(
     df: DataFrame,
     stored: DataFrame,
@@ -27,21 +35,15 @@ def not_stored(
     differs between rows without a key; the default is the whole row.
     """
     row = F.col(spread_by) if spread_by else F.struct("*")
-    spread = F.pmod(F.xxhash64(row), F.lit(_SPREAD)).cast("int")
-    left = df.withColumn("_spread", F.when(F.col(key).isNull(), spread).otherwise(0))
-    right = stored.select(F.col(stored_key).alias("_stored_key"))
-    present = right.filter(F.col("_stored_key").isNotNull()).withColumn("_stored_spread", F.lit(0))
-    same_spread = F.col("_spread") == F.col("_stored_spread")
+    stand_in = _missing(F.pmod(F.xxhash64(row), F.lit(_SPREAD)))
+    left = df.withColumn("_key", F.coalesce(_present(F.col(key)), stand_in))
+    keys = stored.select(F.col(stored_key).alias("_key"))
+    right = keys.filter(F.col("_key").isNotNull()).select(_present(F.col("_key")).alias("_key"))
     if null_safe:
-        missing = (
-            right.filter(F.col("_stored_key").isNull())
-            .distinct()
-            .withColumn("_stored_spread", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
-        )
-        same = F.col(key).eqNullSafe(F.col("_stored_key")) & same_spread
-        return left.join(present.unionByName(missing), same, "left_anti").drop("_spread")
-    same = (F.col(key) == F.col("_stored_key")) & same_spread
-    return left.join(present, same, "left_anti").drop("_spread")
+        every = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1)))
+        missing = keys.filter(F.col("_key").isNull()).distinct().select(every.alias("_number"))
+        right = right.unionByName(missing.select(_missing(F.col("_number")).alias("_key")))
+    return left.join(right, "_key", "left_anti").drop("_key")
 
 
 def _path_if_any(df: DataFrame) -> str | None:

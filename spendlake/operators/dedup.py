@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlake.operators.antijoin import not_stored
 from spendlake.staging import staged
 
 # A leftover of at most this many narrow rows is finished in a single task.
@@ -26,13 +25,13 @@ def first_by_hash(df: DataFrame, stored: DataFrame, order: str = "raw_path") ->
     The batch is reduced first, so no hash is hot when it meets the stored ones.
     """
     once = first_by_key(df, ["content_hash"], [order])
-    return not_stored(once, stored, "content_hash", "content_hash")
+    return once.join(stored.select("content_hash"), "content_hash", "left_anti").select(df.columns)
 
 
 def enforce_tx_key(new: DataFrame, stored: DataFrame, order: list[Column | str]) -> DataFrame:
     """Drop transactions whose id is stored or came earlier in the batch."""
     once = first_by_key(new, ["id"], order)
-    return not_stored(once, stored, "id", "id")
+    return once.join(stored.select("id"), "id", "left_anti").select(new.columns)
 
 
 def first_by_two_keys(

@@ -12,6 +12,8 @@ question it cannot belong to:
 Text comparison then decides, inside the join.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ def _needed_piece(part: Column) -> Column:
 
 def _merchant_keys(questions: DataFrame, merchants: DataFrame) -> DataFrame:
     """The merchants that each question with a pattern asks for."""
-    asked = questions.filter(F.col("merchant") != "").select(
-        "qid", fold_ascii(F.col("merchant")).alias("part"), "start_date", "end_date"
+    asked = _broadcast_if_small(questions).filter(F.col("merchant") != "").select(
+        "qid", "metric", fold_ascii(F.col("merchant")).alias("part"), "start_date", "end_date"
     )
     patterns = asked.select(
         "part",
@@ -63,12 +65,19 @@ def _merchant_keys(questions: DataFrame, merchants: DataFrame) -> DataFrame:
         "merchant", fold_ascii(F.col("merchant")).alias("name")
     )
     pieces = names.select("merchant", "name", F.explode(_pieces(F.col("name"))).alias("piece"))
-    hits = pieces.join(patterns, "piece").filter(F.like("name", F.col("pattern")))
-    return asked.join(hits.select("part", "merchant"), "part").drop("part")
+    small = questions.count() <= BROADCAST_ROWS
+    wanted = F.broadcast(patterns) if small else patterns.hint("merge")
+    hits = pieces.join(wanted, "piece").filter(F.like("name", F.col("pattern")))
+    return hits.select("part", "merchant").join(asked, "part").drop("part")
+
+
+def _day(tx: DataFrame) -> Column:
+    return tx["tx_day"] if "tx_day" in tx.columns else canonical_day(tx["tx_date"])
 
 
-def _month(tx_date: Column) -> Column:
-    return F.coalesce(F.date_format(canonical_day(tx_date), "yyyy-MM"), F.lit(""))
+def _month(tx: DataFrame) -> Column:
+    """``YYYY-MM`` of a plain day; "" for other date text and for no date."""
+    return F.when(_day(tx).isNotNull(), F.substring(tx["tx_date"], 1, 7)).otherwise("")
 
 
 def _month_keys(questions: DataFrame, first_day, last_day) -> DataFrame:
@@ -85,7 +94,7 @@ def _month_keys(questions: DataFrame, first_day, last_day) -> DataFrame:
         months = F.when(start <= end, F.transform(span, lambda d: F.date_format(d, "yyyy-MM")))
     keys = F.concat(F.array(F.lit("")), F.coalesce(months, none))
     return questions.filter(F.coalesce(F.col("merchant"), F.lit("")) == "").select(
-        "qid", "start_date", "end_date", F.explode(keys).alias("month")
+        "qid", "metric", "start_date", "end_date", F.explode(keys).alias("month")
     )
 
 
@@ -98,8 +107,25 @@ def _in_range(tx: DataFrame, keys: DataFrame) -> Column:
     return after & before
 
 
-def _keys(questions: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-    day = canonical_day(F.col("tx_date"))
+class Keys(NamedTuple):
+    """Join keys of a set of questions."""
+
+    by_merchant: DataFrame
+    by_month: DataFrame
+
+    def only(self, condition: Column) -> "Keys":
+        return Keys(*(keys.filter(condition) for keys in self))
+
+
+def question_keys(questions: DataFrame, tx: DataFrame) -> Keys:
+    """Keys of ``questions`` (``qid``, ``merchant``, ``start_date``,
+    ``end_date``, ``metric``) in the merchants and months of ``tx``.
+
+    Questions, merchants and keys are written tables, so that what is
+    broadcast has a known size.
+    """
+    questions = staged(questions, "questions")
+    day = _day(tx)
     merchants = staged(
         tx.groupBy("merchant").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day")),
         "merchants",
@@ -107,7 +133,7 @@ def _keys(questions: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     first_day, last_day = merchants.agg(F.min("first_day"), F.max("last_day")).first()
     by_merchant = staged(_merchant_keys(questions, merchants), "merchant-keys")
     by_month = staged(_month_keys(questions, first_day, last_day), "month-keys")
-    return _broadcast_if_small(by_merchant), _broadcast_if_small(by_month)
+    return Keys(_broadcast_if_small(by_merchant), _broadcast_if_small(by_month))
 
 
 def _join_merchants(tx: DataFrame, keys: DataFrame) -> DataFrame:
@@ -116,30 +142,37 @@ def _join_merchants(tx: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _join_months(tx: DataFrame, keys: DataFrame) -> DataFrame:
-    on = (_month(tx["tx_date"]) == keys["month"]) & _in_range(tx, keys)
+    on = (_month(tx) == keys["month"]) & _in_range(tx, keys)
     return tx.join(keys, on).select(keys["qid"], *[tx[c] for c in tx.columns])
 
 
-def transactions_by_question(questions: DataFrame, tx: DataFrame) -> DataFrame:
+def transactions_of(keys: Keys, tx: DataFrame) -> DataFrame:
     """Every transaction that each question asks for, with its ``qid``."""
-    by_merchant, by_month = _keys(questions, tx)
-    return _join_merchants(tx, by_merchant).unionByName(_join_months(tx, by_month))
+    of_merchants = _join_merchants(tx, keys.by_merchant)
+    return of_merchants.unionByName(_join_months(tx, keys.by_month))
 
 
-def totals_by_question(questions: DataFrame, tx: DataFrame) -> DataFrame:
+def totals_of(keys: Keys, tx: DataFrame) -> DataFrame:
     """Total cents per question and currency.
 
     Questions about all merchants are answered from one total per day and
     currency, not from the transactions.
     """
-    by_merchant, by_month = _keys(questions, tx)
     of_merchants = _join_merchants(
-        tx.select("merchant", "tx_date", "currency", "amount_cents"), by_merchant
+        tx.select("merchant", "tx_date", "currency", "amount_cents"), keys.by_merchant
     ).select("qid", "currency", "amount_cents")
     days = tx.groupBy("tx_date", "currency").agg(F.sum("amount_cents").alias("amount_cents"))
-    of_days = _join_months(days, by_month).select("qid", "currency", "amount_cents")
+    of_days = _join_months(days, keys.by_month).select("qid", "currency", "amount_cents")
     return (
         of_merchants.unionByName(of_days)
         .groupBy("qid", "currency")
         .agg(F.sum("amount_cents").alias("total"))
     )
+
+
+def transactions_by_question(questions: DataFrame, tx: DataFrame) -> DataFrame:
+    return transactions_of(question_keys(questions, tx), tx)
+
+
+def totals_by_question(questions: DataFrame, tx: DataFrame) -> DataFrame:
+    return totals_of(question_keys(questions, tx), tx)

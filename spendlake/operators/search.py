@@ -31,9 +31,12 @@ def search(emails: DataFrame, query: str) -> DataFrame:
     they are scanned, so only hits are sorted and nothing else is shuffled.
     """
     terms = F.array_distinct(_words(F.lit(query)))
+    # A mail can only be a hit if its text holds each word as a substring.
+    text = F.lower(F.concat_ws(" ", "subject", "body_text"))
+    maybe = emails.filter(F.forall(terms, lambda w: F.contains(text, w)))
     words = F.concat(*[F.coalesce(_words(F.col(c)), F.array()) for c in ("subject", "body_text")])
     found = F.filter(words, lambda w: F.array_contains(terms, w))
-    hits = emails.select("id", found.alias("found"), F.size(terms).alias("wanted"))
+    hits = maybe.select("id", found.alias("found"), F.size(terms).alias("wanted"))
     return (
         hits.filter((F.col("wanted") > 0) & (F.size(F.array_distinct("found")) == F.col("wanted")))
         .select("id", F.size("found").cast("bigint").alias("score"))

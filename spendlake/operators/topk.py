@@ -31,8 +31,7 @@ def find_similar(embeddings: DataFrame, query: list[float], k: int = 10) -> Data
     score = cosine_similarity(F.col("vector"), query)
     scored = embeddings.select("email_id", score.alias("similarity"))
     ranked = F.when(~F.isnan("similarity"), F.col("similarity"))
-    return (
-        scored.filter(F.col("similarity").isNotNull())
-        .orderBy(F.desc_nulls_last(ranked), "email_id")
-        .limit(k)
-    )
+    # Unusable vectors sort last and go after the limit. Filtered before it,
+    # they would have to be scored twice.
+    best = scored.orderBy(F.col("similarity").isNull(), F.desc_nulls_last(ranked), "email_id")
+    return best.limit(k).filter(F.col("similarity").isNotNull())

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from spendlake.functions import render
 from spendlake.functions.replies import intent_object, intent_text
 from spendlake.operators.hooks import Hook, ask_hook
-from spendlake.operators.match import totals_by_question, transactions_by_question
-from spendlake.plans.query import filter_transactions
+from spendlake.operators.match import question_keys, totals_of, transactions_of
 from spendlake.operators.totals import total_by_currency
+from spendlake.plans.query import filter_transactions
+from spendlake.staging import staged
 
 _PARAMETERS = ("merchant", "start_date", "end_date", "metric")
 
@@ -64,14 +65,19 @@ def no_match_lines(questions: DataFrame, *answers: DataFrame) -> DataFrame:
 
 
 def answer_many(questions: DataFrame, tx: DataFrame) -> DataFrame:
-    """Answer lines of questions given as parameters (and ``understood``)."""
+    """Answer lines of questions given as parameters (and ``understood``).
+
+    The questions are written once, as every kind of answer reads them.
+    """
+    questions = staged(questions, "questions")
     clear = questions.filter("understood")
     is_sum = F.coalesce(F.col("metric") == "sum", F.lit(False))
     sums, lists = clear.filter(is_sum), clear.filter(~is_sum)
-    totals = totals_by_question(sums, tx)
-    found = transactions_by_question(
-        lists, tx.select("merchant", "amount_cents", "currency", "tx_date")
-    )
+    day = [c for c in ("tx_day",) if c in tx.columns]
+    shown = tx.select("merchant", "amount_cents", "currency", "tx_date", *day)
+    keys = question_keys(clear, shown)
+    totals = totals_of(keys.only(is_sum), shown)
+    found = transactions_of(keys.only(~is_sum), shown)
     unclear = questions.filter("NOT understood").select(*_line(0, F.lit(render.NOT_UNDERSTOOD)))
     return (
         sum_lines(totals)

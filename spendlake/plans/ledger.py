@@ -18,19 +18,27 @@ from spendlake.operators.totals import ledger_summary
 
 def reply_transactions(replies: DataFrame) -> DataFrame:
     """``email_id``, ``reply`` to transactions; a reply without one gives no row."""
-    objects = replies.select("email_id", r.reply_object(F.col("reply")).alias("obj"))
+    # An array of at most one element: the reply is parsed once, and rows
+    # without a transaction go where they are parsed.
+    found = F.filter(
+        F.transform(
+            F.array(r.reply_object(F.col("reply"))),
+            lambda obj: F.struct(obj.alias("obj"), r.amount_cents(obj).alias("cents")),
+        ),
+        lambda one: one["cents"].isNotNull(),
+    )
+    rows = replies.select("email_id", F.inline(found))
     obj = F.col("obj")
-    rows = objects.filter(r.field(obj, "amount").isNotNull()).select(
+    return rows.select(
         transaction_id(F.col("email_id")).alias("id"),
         "email_id",
         r.field_or_default(obj, "merchant").alias("merchant"),
-        r.amount_cents(obj).alias("amount_cents"),
+        F.col("cents").alias("amount_cents"),
         r.field_or_default(obj, "currency").alias("currency"),
         r.field_text(obj, "date").alias("tx_date"),
         r.field_or_default(obj, "category").alias("category"),
         F.lit(1.0).alias("confidence"),
     )
-    return rows.filter(F.col("amount_cents").isNotNull())
 
 
 def prompts(emails: DataFrame, tx: DataFrame, scope: str = "subject_first") -> DataFrame:
