@@ -11,7 +11,19 @@ def base64url_bytes(data: Column) -> Column:
     alphabet are skipped, and what follows the padding is ignored. A text
     that ends inside a quantum without the padding for it is undecodable.
     """
-    clean = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/=]", "")
+    is_plain = data.rlike("^[A-Za-z0-9_+/-]*=*$")
+    digits = F.rtrim(_standard_alphabet(data), F.lit("="))
+    return F.when(is_plain, F.try_to_binary(digits, F.lit("base64"))).otherwise(
+        _bytes_among_strays(data)
+    )
+
+
+def _standard_alphabet(data: Column) -> Column:
+    return F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+
+
+def _bytes_among_strays(data: Column) -> Column:
+    clean = F.regexp_replace(_standard_alphabet(data), "[^A-Za-z0-9+/=]", "")
     digits = F.regexp_extract(clean, "^([^=]*)", 1)
     run = F.length(F.regexp_extract(clean, "^[^=]*(=*)", 1))
     to_the_end = F.length(digits) + run == F.length(clean)

@@ -44,23 +44,19 @@ def strict_object(text: Column) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """Type name of a VARIANT: OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1)
+    """OBJECT, ARRAY, STRING, BOOLEAN or VOID; the name of its type for a number."""
+    return F.substring_index(F.schema_of_variant(value), "<", 1)
 
 
 def reply_object(reply: Column) -> Column:
     """The JSON object in a reply, or NULL.
 
-    The whole reply is read as JSON; failing that, the span from its first
-    ``{`` to its last ``}``. A reply that is JSON but no object has none.
+    That is the span from the first ``{`` to the last ``}``, unless the whole
+    reply is JSON of another kind.
     """
     span = strict_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1))
-    return _once(
-        strict_json(reply),
-        lambda whole: F.when(whole.isNull(), span).otherwise(
-            F.when(reply.rlike(r"^\s*\{"), whole)
-        ),
-    )
+    open_brace = reply.rlike(r"^\s*\{")
+    return F.when(open_brace | strict_json(reply).isNull(), span)
 
 
 def field(obj: Column, key: str) -> Column:
@@ -73,13 +69,9 @@ def field_text(obj: Column, key: str) -> Column:
 
     Booleans become 1 and 0, nested values their JSON text.
     """
-
-    def text(value):
-        truth = F.try_variant_get(value, "$", "boolean").cast("int").cast("string")
-        is_boolean = F.schema_of_variant(value) == "BOOLEAN"
-        return F.when(is_boolean, truth).otherwise(F.try_variant_get(value, "$", "string"))
-
-    return _once(field(obj, key), text)
+    is_boolean = F.schema_of_variant(field(obj, key)) == "BOOLEAN"
+    truth = F.try_variant_get(obj, f"$.{key}", "boolean").cast("int").cast("string")
+    return F.when(is_boolean, truth).otherwise(F.try_variant_get(obj, f"$.{key}", "string"))
 
 
 def field_or_default(obj: Column, key: str) -> Column:
@@ -95,15 +87,12 @@ def number(value: Column) -> Column:
     """A JSON number, boolean or number text as double; else NULL."""
     of_kind = kind(value)
     text = F.try_variant_get(value, "$", "string")
-    from_text = F.when(text.rlike(_NUMBER), F.replace(F.trim(text), F.lit("_"), F.lit(""))).try_cast(
-        "double"
-    )
-    from_truth = F.try_variant_get(value, "$", "boolean").cast("int").cast("double")
-    from_number = F.try_variant_get(value, "$", "double")
+    plain = F.replace(F.trim(text), F.lit("_"), F.lit(""))
+    truth = F.try_variant_get(value, "$", "boolean").cast("int").cast("double")
     return (
-        F.when(of_kind == "STRING", from_text)
-        .when(of_kind == "BOOLEAN", from_truth)
-        .when(~of_kind.isin("OBJECT", "ARRAY", "VOID"), from_number)
+        F.when(of_kind == "STRING", F.when(text.rlike(_NUMBER), plain.try_cast("double")))
+        .when(of_kind == "BOOLEAN", truth)
+        .when(~of_kind.isin("OBJECT", "ARRAY", "VOID"), F.try_variant_get(value, "$", "double"))
     )
 
 

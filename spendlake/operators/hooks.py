@@ -34,14 +34,18 @@ def _answers(hook: Hook, texts: list) -> list:
 
 
 def ask_hook(df: DataFrame, text: str, answer: str, answer_type: str, hook: Hook) -> DataFrame:
-    """``df`` with the hook's answer to column ``text``."""
+    """``df`` with the hook's answer to column ``text``.
+
+    Calls cost far more than moving their texts, so these are spread evenly.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @F.pandas_udf(answer_type)
     def call(texts: pd.Series) -> pd.Series:
         return pd.Series(_answers(hook, texts.tolist()), index=texts.index, dtype=object)
 
     # Not to be repeated, moved or merged: a call is costly and may vary.
-    return df.withColumn(answer, call.asNondeterministic()(F.col(text)))
+    return df.repartition(partitions).withColumn(answer, call.asNondeterministic()(F.col(text)))
 
 
 def hashed_vectors(df: DataFrame, text: str, vector: str, size: int = 256) -> DataFrame:

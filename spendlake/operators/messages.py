@@ -1,16 +1,18 @@
 """Raw messages to mail fields.
 
-The JSON envelope, base64, headers, defaults, dates and hashes are Spark
-expressions. Python reads the two parts that are recursive: a MIME message
-and a payload tree. A message that cannot be read keeps its path and gets an
+The JSON envelope, headers, defaults, dates and hashes are Spark expressions.
+Python reads the two parts that are recursive, with the base64 in them: a MIME
+message and a payload tree. A message that cannot be read keeps its path and gets an
 ``error``; it never fails the job.
 """
 
 import base64
 import datetime
 import email
+import functools
 import json
 from email import policy
+from email.policy import EmailPolicy
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +34,11 @@ _FIELDS = T.StructType(
 _HEADERS = "array<struct<name:string,value:string>>"
 
 
+def _bytes(coded: str) -> bytes:
+    """Bytes of base64url text; missing padding is implied by its length."""
+    return base64.urlsafe_b64decode(coded + "=" * (-len(coded) % 4))
+
+
 def _part_text(part) -> str:
     """Text of the chosen part; broken content is decoded as far as it goes."""
     try:
@@ -41,13 +48,29 @@ def _part_text(part) -> str:
         return part.get_payload(decode=True).decode("utf-8", "replace")
 
 
-def read_mime(data: bytes) -> dict:
-    """Fields of one MIME message; plain text is preferred to HTML."""
-    message = email.message_from_bytes(data, policy=policy.default)
+def _reading_policy() -> EmailPolicy:
+    """The default policy, but no header text is parsed twice.
+
+    One message asks for its headers many times, and most messages share
+    some of them.
+    """
+    parsed = functools.lru_cache(maxsize=4096)(policy.default.header_fetch_parse)
+
+    class Remembering(EmailPolicy):
+        def header_fetch_parse(self, name, value):
+            return parsed(name, value)
+
+    return Remembering()
+
+
+def read_mime(raw: str, reading: EmailPolicy) -> dict:
+    """Fields of one base64url MIME message; plain text is preferred to HTML."""
+    message = email.message_from_bytes(_bytes(raw), policy=reading)
     part = message.get_body(preferencelist=("plain", "html"))
-    names = {"subject": "subject", "from_addr": "from", "date_text": "date"}
-    fields = {k: None if message[h] is None else str(message[h]) for k, h in names.items()}
-    fields["body"] = "" if part is None else _part_text(part)
+    fields = {"body": "" if part is None else _part_text(part)}
+    for name, header in (("subject", "subject"), ("from_addr", "from"), ("date_text", "date")):
+        value = message[header]
+        fields[name] = None if value is None else str(value)
     for text in fields.values():
         (text or "").encode("utf-8")
     return fields
@@ -58,8 +81,7 @@ def _data(node: dict) -> str | None:
 
 
 def _decoded(data: str | None) -> str:
-    padded = (data or "") + "=" * (-len(data or "") % 4)
-    return base64.urlsafe_b64decode(padded).decode("utf-8", "replace")
+    return _bytes(data or "").decode("utf-8", "replace")
 
 
 def _is_text(node: dict) -> bool:
@@ -114,8 +136,8 @@ def _rows(values: pd.Series, read) -> pd.DataFrame:
 
 
 @F.pandas_udf(_FIELDS)
-def _mime_fields(data: pd.Series) -> pd.DataFrame:
-    return _rows(data, read_mime)
+def _mime_fields(raw: pd.Series) -> pd.DataFrame:
+    return _rows(raw, functools.partial(read_mime, reading=_reading_policy()))
 
 
 @F.pandas_udf(_FIELDS)
@@ -138,9 +160,7 @@ def parse_messages(messages: DataFrame, today: datetime.date) -> DataFrame:
         field_text(F.col("doc"), "id").alias("id"),
         F.col("doc").isNotNull().alias("is_json"),
         is_mime.alias("is_mime"),
-        F.when(kind(raw) == "STRING", codec.base64url_bytes(field_text(F.col("doc"), "raw"))).alias(
-            "mime"
-        ),
+        F.when(kind(raw) == "STRING", field_text(F.col("doc"), "raw")).alias("mime"),
         F.when(F.col("doc").isNotNull() & ~is_mime, tree).alias("tree"),
         F.when(~is_mime, field(payload, "headers")).alias("headers"),
     )
@@ -168,7 +188,7 @@ def parse_messages(messages: DataFrame, today: datetime.date) -> DataFrame:
         F.when(mime, F.col("m.date_text")).otherwise(header["Date"]).alias("date_text"),
         F.when(mime, F.col("m.body")).otherwise(F.col("t.body")).alias("body"),
         F.when(~F.col("is_json"), "not a JSON object")
-        .when(mime & ~F.col("has_mime"), "no decodable raw text")
+        .when(mime & ~F.col("has_mime"), "no raw text")
         .when(mime, F.col("m.error"))
         .when(~F.coalesce(well_formed, F.lit(False)), "malformed headers")
         .otherwise(F.col("t.error"))

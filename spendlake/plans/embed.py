@@ -21,5 +21,5 @@ def embed_pending(emails: DataFrame, embeddings: DataFrame, hook: Hook | None =
     if hook is None:
         done = hashed_vectors(pending, "text", "vector")
     else:
-        done = ask_hook(pending.hint("rebalance"), "text", "vector", "array<float>", hook)
+        done = ask_hook(pending, "text", "vector", "array<float>", hook)
     return done.filter(F.col("vector").isNotNull()).select("email_id", "vector")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from spendlake.operators.dedup import first_by_two_keys
 from spendlake.operators.messages import parse_messages
 from spendlake.operators.totals import import_summary
-from spendlake.staging import staged
+from spendlake.staging import spread, staged
 
 
 def import_messages(
@@ -19,7 +19,7 @@ def import_messages(
     of their path. Neither the id nor the body of a new mail is stored yet.
     Messages are parsed once, into a written table.
     """
-    parsed = staged(parse_messages(messages, today), "parsed")
+    parsed = staged(parse_messages(spread(messages), today), "parsed")
     readable = parsed.filter("error IS NULL").drop("error")
     new = first_by_two_keys(readable, emails, "id", "content_hash", "raw_path")
     return new, import_summary(parsed, new)

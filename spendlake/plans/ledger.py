@@ -73,7 +73,7 @@ def build_ledger(
         same = F.col("email_id").eqNullSafe(F.col("_reply_to"))
         answered = waiting.select("email_id").join(given, same).drop("_reply_to")
     elif hook is not None:
-        answered = ask_hook(waiting.hint("rebalance"), "prompt", "reply", "string", hook)
+        answered = ask_hook(waiting, "prompt", "reply", "string", hook)
     else:
         answered = rule_replies(waiting, "prompt", "reply")
     found = reply_transactions(answered.select("email_id", "reply"))
