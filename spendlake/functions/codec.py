@@ -9,9 +9,10 @@ def base64url_bytes(data: Column) -> Column:
 
     Missing padding is implied by the text's length. Characters outside the
     alphabet are skipped, and what follows the padding is ignored. A text
-    that ends inside a quantum without the padding for it is undecodable.
+    that is not ASCII, or ends inside a quantum without the padding for it, is
+    undecodable.
     """
-    is_plain = data.rlike("^[A-Za-z0-9_+/-]*=*$")
+    is_plain = data.rlike(r"^[A-Za-z0-9_+/-]*=*\z")
     digits = F.rtrim(_standard_alphabet(data), F.lit("="))
     return F.when(is_plain, F.try_to_binary(digits, F.lit("base64"))).otherwise(
         _bytes_among_strays(data)
@@ -33,7 +34,8 @@ def _bytes_among_strays(data: Column) -> Column:
     complete = (
         (left_over == 0) | ((left_over == 2) & (padding >= 2)) | ((left_over == 3) & (padding >= 1))
     )
-    return F.when(complete, F.try_to_binary(digits, F.lit("base64")))
+    is_ascii = data.rlike(r"^[\x00-\x7F]*\z")
+    return F.when(is_ascii & complete, F.try_to_binary(digits, F.lit("base64")))
 
 
 def utf8_text(data: Column) -> Column:

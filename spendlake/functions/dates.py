@@ -14,7 +14,7 @@ _MAIL_DATE = (
     r"^(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), )?"
     r"(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [1-9]\d{3})"
     r" (?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?"
-    r"(?: (?:[+-](?:[01]\d|2[0-3])[0-5]\d|GMT|UTC))?$"
+    r"(?: (?:[+-](?:[01]\d|2[0-3])[0-5]\d|GMT|UTC))?\z"
 )
 _MONTHS = (
     "january february march april may june july august september october november december"
