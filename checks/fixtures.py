@@ -17,8 +17,8 @@ TABLES = (
 # Spelling in Spark and in DuckDB.
 DIALECT = {
     "cents": ("rint(l_extendedprice * 100)", "round_even(l_extendedprice * 100, 0)"),
-    "doc_base64": ("translate(base64(encode(mime, 'UTF-8')), chr(13) || chr(10), '')", "to_base64(encode(mime))"),
-    "page_base64": ("translate(base64(encode(html, 'UTF-8')), chr(13) || chr(10), '')", "to_base64(encode(html))"),
+    "doc_base64": ("replace(base64(encode(mime, 'UTF-8')), chr(13) || chr(10), '')", "to_base64(encode(mime))"),
+    "page_base64": ("replace(base64(encode(html, 'UTF-8')), chr(13) || chr(10), '')", "to_base64(encode(html))"),
     "text_hash": ("sha2(body_text, 256)", "sha256(body_text)"),
     "doc_day": (
         "date_format(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), 'd MMM yyyy')",
@@ -144,8 +144,8 @@ FIXTURES = {
           'raw/' || lpad(CAST(doc_id AS STRING), 12, '0') || '.json' AS raw_path,
           CASE WHEN doc_id % 50 = 7 THEN '{{"id":"m' || CAST(doc_id AS STRING) || '","raw":null}}'
             ELSE '{{"id":"m' || CAST(doc_id AS STRING) || '","raw":"' || CASE WHEN doc_id % 2 = 0
-              THEN regexp_replace(translate($doc_base64, '+/', '-_'), '=+$', '')
-              ELSE translate($doc_base64, '+/', '-_') END || '"}}' END AS text
+              THEN trim(trailing '=' FROM replace(replace($doc_base64, '+', '-'), '/', '_'))
+              ELSE replace(replace($doc_base64, '+', '-'), '/', '_') END || '"}}' END AS text
         FROM (SELECT doc_id,
           'From: ' || source || '@example.com' || chr(10)
           || CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Subject: Receipt ' || CAST(doc_id AS STRING)
@@ -160,7 +160,7 @@ FIXTURES = {
         SELECT 'p' || CAST(page_id AS STRING) AS id,
           'raw/' || lpad(CAST(page_id AS STRING), 12, '0') || '.json' AS raw_path,
           '{{"id":"p' || CAST(page_id AS STRING) || '","raw":"'
-            || regexp_replace(translate($doc_base64, '+/', '-_'), '=+$', '') || '"}}' AS text
+            || trim(trailing '=' FROM replace(replace($doc_base64, '+', '-'), '/', '_')) || '"}}' AS text
         FROM (SELECT page_id, 'From: shop@example.com' || chr(10) || 'Subject: Page '
           || CAST(page_id AS STRING) || chr(10) || 'Date: Tue, 3 Sep 2024 23:59:00 -0700' || chr(10)
           || CASE WHEN page_id % 2 = 0 THEN 'Content-Type: text/html; charset=utf-8' || chr(10)
@@ -189,7 +189,7 @@ FIXTURES = {
                || '{{"mimeType":"multipart/alternative","parts":['
                || '{{"mimeType":"text/plain","body":{{"data":"cGxhaW4"}}}}]}}]'
              ELSE '"body":{{"data":"' || b64 || '"}}' END || '}}}}' AS text
-        FROM (SELECT page_id, regexp_replace(translate($page_base64, '+/', '-_'), '=+$', '') AS b64
+        FROM (SELECT page_id, trim(trailing '=' FROM replace(replace($page_base64, '+', '-'), '/', '_')) AS b64
               FROM {pages}) AS p""",
     # Rows offered under two keys: customers as ids, day and priority as body.
     "rivals_v": """

@@ -161,7 +161,8 @@ def sum_lines(t):
     GROUP BY qid""")
 def list_lines(t):
     lists = t.questions_v.filter("metric = 'list'")
-    return ask.list_lines(match.transactions_by_question(lists, t.tx_v))
+    found = match.transactions_by_question(lists, t.tx_v)
+    return ask.list_lines(found, ask.list_counts(found))
 
 
 @check(f"""

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 _BREAK = r"[^\p{L}\p{N}]+"
 
 
+def _split(text: Column) -> Column:
+    return F.split(F.lower(text), _BREAK)
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _BREAK), lambda w: w != "")
+    return F.filter(_split(text), lambda w: w != "")
 
 
 def _fields(emails: DataFrame) -> DataFrame:
@@ -30,15 +34,19 @@ def search(emails: DataFrame, query: str) -> DataFrame:
     ``score`` is the number of times the words occur. Mails are matched where
     they are scanned, so only hits are sorted and nothing else is shuffled.
     """
-    terms = F.array_distinct(_words(F.lit(query)))
+    one = emails.sparkSession.range(1).select(F.array_distinct(_words(F.lit(query))))
+    terms = one.first()[0]
     # A mail can only be a hit if its text holds each word as a substring.
     text = F.lower(F.concat_ws(" ", "subject", "body_text"))
-    maybe = emails.filter(F.forall(terms, lambda w: F.contains(text, w)))
-    words = F.concat(*[F.coalesce(_words(F.col(c)), F.array()) for c in ("subject", "body_text")])
-    found = F.filter(words, lambda w: F.array_contains(terms, w))
-    hits = maybe.select("id", found.alias("found"), F.size(terms).alias("wanted"))
+    maybe = emails.filter(F.lit(bool(terms)))
+    for term in terms:
+        maybe = maybe.filter(F.contains(text, F.lit(term)))
+    no_words = F.array().cast("array<string>")
+    words = F.concat(*[F.coalesce(_split(F.col(c)), no_words) for c in ("subject", "body_text")])
+    found = F.filter(words, lambda w: w.isin(terms))
+    hits = maybe.select("id", found.alias("found"))
     return (
-        hits.filter((F.col("wanted") > 0) & (F.size(F.array_distinct("found")) == F.col("wanted")))
+        hits.filter(F.size(F.array_distinct("found")) == len(terms))
         .select("id", F.size("found").cast("bigint").alias("score"))
         .orderBy(F.desc("score"), "id")
     )

@@ -46,28 +46,30 @@ def sum_lines(totals: DataFrame) -> DataFrame:
     return totals.select(*_line(1, render.sum_line(F.col("total"), F.col("currency"))))
 
 
-def list_lines(found: DataFrame) -> DataFrame:
+def list_counts(found: DataFrame) -> DataFrame:
+    return found.groupBy("qid").agg(F.count("*").alias("n"))
+
+
+def list_lines(found: DataFrame, counts: DataFrame) -> DataFrame:
     """Transactions with a ``qid`` to a header and one line each."""
     text = render.list_line(
         F.col("tx_date"), F.col("merchant"), F.col("amount_cents"), F.col("currency")
     )
-    counts = found.groupBy("qid").agg(F.count("*").alias("n"))
     header = counts.select(*_line(0, render.list_header(F.col("n"))))
     return header.unionByName(found.select(*_line(1, text, F.col("tx_date"))))
 
 
-def no_match_lines(questions: DataFrame, *answers: DataFrame) -> DataFrame:
-    """The line for each question that has no answer."""
-    silent = questions.select("qid")
-    for answer in answers:
-        silent = silent.join(answer.select("qid").distinct(), "qid", "left_anti")
+def no_match_lines(questions: DataFrame, answered: DataFrame) -> DataFrame:
+    """The line for each question that has no row in ``answered``."""
+    silent = questions.select("qid").join(answered.select("qid").distinct(), "qid", "left_anti")
     return silent.select(*_line(0, F.lit(render.NO_MATCH)))
 
 
 def answer_many(questions: DataFrame, tx: DataFrame) -> DataFrame:
     """Answer lines of questions given as parameters (and ``understood``).
 
-    The questions are written once, as every kind of answer reads them.
+    The questions, and what there is at most once per question and currency,
+    are written tables, as more than one kind of line reads them.
     """
     questions = staged(questions, "questions")
     clear = questions.filter("understood")
@@ -76,14 +78,15 @@ def answer_many(questions: DataFrame, tx: DataFrame) -> DataFrame:
     day = [c for c in ("tx_day",) if c in tx.columns]
     shown = tx.select("merchant", "amount_cents", "currency", "tx_date", *day)
     keys = question_keys(clear, shown)
-    totals = totals_of(keys.only(is_sum), shown)
+    totals = staged(totals_of(keys.only(is_sum), shown), "totals")
     found = transactions_of(keys.only(~is_sum), shown)
+    counts = staged(list_counts(found), "counts")
     unclear = questions.filter("NOT understood").select(*_line(0, F.lit(render.NOT_UNDERSTOOD)))
     return (
         sum_lines(totals)
-        .unionByName(list_lines(found))
+        .unionByName(list_lines(found, counts))
         .unionByName(no_match_lines(sums, totals))
-        .unionByName(no_match_lines(lists, found))
+        .unionByName(no_match_lines(lists, counts))
         .unionByName(unclear)
     )
 
@@ -109,6 +112,6 @@ def ask(tx: DataFrame, reply: str) -> DataFrame:
         lines = sum_lines(rows)
     else:
         rows = found.withColumn("qid", F.lit(0))
-        lines = list_lines(rows)
+        lines = list_lines(rows, list_counts(rows))
     lines = lines.unionByName(no_match_lines(one, rows))
     return lines.orderBy("part", F.desc_nulls_last("tx_date"), "line")
