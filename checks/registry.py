@@ -219,6 +219,25 @@ def relative_periods(t):
     return asked.select("o_orderkey", start.alias("start_date"), end.alias("end_date"))
 
 
+@check(f"""
+    SELECT q.qid, currency, CAST(SUM(amount_cents) AS BIGINT) AS total
+    FROM (SELECT CAST(n_nationkey AS BIGINT) AS qid,
+            CASE WHEN n_regionkey = 1 THEN NULL ELSE 'gear' END AS merchant,
+            CASE n_nationkey % 3 WHEN 0 THEN '1998-02-15' WHEN 1 THEN '1998-02-01'
+              ELSE '1997-11-01' END AS start_date,
+            CASE n_nationkey % 3 WHEN 0 THEN '1998-03-17' WHEN 1 THEN '1998-02-28'
+              ELSE '1997-11-30' END AS end_date FROM {{nation}}) AS q
+    JOIN {{tx_v}} t ON {_ASKED} GROUP BY q.qid, currency""")
+def period_totals(t):
+    asked = t.sql("""
+        SELECT CAST(n_nationkey AS BIGINT) AS qid,
+          CASE WHEN n_regionkey = 1 THEN NULL ELSE 'gear' END AS merchant,
+          CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Last month' ELSE 'November' END
+            AS period, 'sum' AS metric FROM {nation}""")
+    questions = ask.from_periods(asked, datetime.date(1998, 3, 17))
+    return match.totals_by_question(questions, t.tx_v)
+
+
 # --- Mails: filters, prompts, defaults ---------------------------------------
 
 _WORDS = "|".join(text.RECEIPT_WORDS)
@@ -301,6 +320,15 @@ def unlanded_messages(t):
     return antijoin.skip_landed(t.doc_messages_v.select("id", "raw_path"), landed)
 
 
+@check("""
+    SELECT id, raw_path FROM {emails_v} e WHERE CAST(date AS DATE) > DATE '2024-03-01'
+      AND NOT EXISTS (SELECT 1 FROM {stored_v} s WHERE s.email_id = e.id)""")
+def messages_to_land(t):
+    known = t.emails_v.select("id", "raw_path", dates.canonical_day(F.col("date")).alias("day"))
+    landed = t.stored_v.withColumnRenamed("email_id", "id")
+    return imports.messages_to_land(known, landed, TODAY, 30).drop("day")
+
+
 @check("""
     SELECT id, raw_path FROM {emails_null_v} e
     WHERE NOT EXISTS (SELECT 1 FROM {stored_v} s WHERE s.email_id = e.id)""")
@@ -544,10 +572,16 @@ _NEW_MAILS = f"""SELECT * FROM (
     WHERE rn = 1"""
 
 
+def _imported(t):
+    """The documents are one file, so they are spread before they are parsed."""
+    slots = t.spark.sparkContext.defaultParallelism
+    return imports.import_messages(t.doc_messages_v, t.stored_emails_v, TODAY, slots)
+
+
 @check(f"""
     SELECT id, date, from_addr, subject, body_text, raw_path, content_hash FROM ({_NEW_MAILS})""")
 def import_messages(t):
-    new, _ = imports.import_messages(t.doc_messages_v, t.stored_emails_v, TODAY)
+    new, _ = _imported(t)
     return new
 
 
@@ -557,7 +591,7 @@ def import_messages(t):
       (SELECT COUNT(*) AS n, COUNT(*) FILTER (doc_id % 50 = 7) AS errors
        FROM {{documents}}) AS b""")
 def import_summary(t):
-    _, summary = imports.import_messages(t.doc_messages_v, t.stored_emails_v, TODAY)
+    _, summary = _imported(t)
     return summary
 
 

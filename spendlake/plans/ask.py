@@ -6,10 +6,13 @@ by ``qid``, ``part``, ``tx_date`` (newest first) and ``line`` the rows read as
 the answers.
 """
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions import render
+from spendlake.functions.dates import period_bounds
 from spendlake.functions.replies import intent_object, intent_text
 from spendlake.operators.hooks import Hook, ask_hook
 from spendlake.operators.match import question_keys, totals_of, transactions_of
@@ -31,6 +34,14 @@ def intents(questions: DataFrame) -> DataFrame:
     )
 
 
+def from_periods(questions: DataFrame, today: datetime.date) -> DataFrame:
+    """``qid``, ``merchant``, ``period``, ``metric`` to search parameters."""
+    start, end = period_bounds(F.col("period"), F.lit(today))
+    dated = questions.withColumn("start_date", start).withColumn("end_date", end)
+    understood = F.col("start_date").isNotNull().alias("understood")
+    return dated.select("qid", *_PARAMETERS, understood)
+
+
 def asked(questions: DataFrame, hook: Hook) -> DataFrame:
     """``qid``, ``question`` to ``qid``, ``reply`` by a model call."""
     return ask_hook(questions, "question", "reply", "string", hook).select("qid", "reply")

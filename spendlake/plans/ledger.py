@@ -14,6 +14,7 @@ from spendlake.operators.antijoin import without_tx
 from spendlake.operators.dedup import enforce_tx_key
 from spendlake.operators.hooks import Hook, ask_hook, rule_replies
 from spendlake.operators.totals import ledger_summary
+from spendlake.staging import staged
 
 
 def reply_transactions(replies: DataFrame) -> DataFrame:
@@ -64,8 +65,12 @@ def build_ledger(
     """The transactions to append, and the summary of the run.
 
     Replies come from a frame (``email_id``, ``reply``, one row per mail),
-    else from a ``hook`` on the prompt, else from a rule. Mails that yield no
-    transaction are tried again in the next run.
+    else from a ``hook`` on the prompt, else from a rule. A hook's replies are
+    written, so that no mail is asked about twice in a run. Mails that yield
+    no transaction are tried again in the next run.
+
+    The new transactions are a written table. The summary counts the mails
+    that wait, so it is to be read before they are appended.
     """
     waiting = prompts(emails, tx, scope)
     if replies is not None:
@@ -73,9 +78,11 @@ def build_ledger(
         same = F.col("email_id").eqNullSafe(F.col("_reply_to"))
         answered = waiting.select("email_id").join(given, same).drop("_reply_to")
     elif hook is not None:
-        answered = ask_hook(waiting, "prompt", "reply", "string", hook)
+        answers = ask_hook(waiting, "prompt", "reply", "string", hook)
+        answered = staged(answers.select("email_id", "reply"), "replies")
     else:
         answered = rule_replies(waiting, "prompt", "reply")
     found = reply_transactions(answered.select("email_id", "reply"))
-    new = enforce_tx_key(found, tx, ["email_id", "amount_cents", "merchant", "tx_date"])
+    order = ["email_id", "amount_cents", "merchant", "tx_date"]
+    new = staged(enforce_tx_key(found, tx, order), "new-tx")
     return new, ledger_summary(emails, without_tx(emails, tx), new, scope)

@@ -40,13 +40,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all task slots where it comes from fewer files than those.
-
-    For rows that cost much more to work on than to move. Input in many files
-    is spread already and stays where it is.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
