@@ -16,6 +16,7 @@ _MAIL_DATE = (
     r" (?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?"
     r"(?: (?:[+-](?:[01]\d|2[0-3])[0-5]\d|GMT|UTC))?\z"
 )
+# The names of the months.
 _MONTHS = (
     "january february march april may june july august september october november december"
 ).split()

@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The notices.
 NO_MATCH = "No transactions found matching your criteria."
 NOT_UNDERSTOOD = "Could not understand the query."
 

@@ -14,6 +14,7 @@ _NUMBER = (
     r"^\s*[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)"
     r"(?:[eE][+-]?\d+(?:_\d+)*)?\s*$"
 )
+# What stands for an absent key.
 _DEFAULTS = {"merchant": "Unknown", "currency": "USD", "category": "Other"}
 
 

@@ -19,12 +19,15 @@ RECEIPT_WORDS = (
     "charged",
     "paid",
 )
+# Sizes in characters, and what stands for a missing header.
 MIN_BODY_CHARS = 50
 EMBEDDING_BODY_CHARS = 512
 PROMPT_BODY_CHARS = 2000
 NO_SUBJECT = "(No Subject)"
 UNKNOWN_SENDER = "(Unknown)"
 
+_WILDCARDS = {"%": ".*", "_": "."}
+
 
 def fold_ascii(text: Column) -> Column:
     """Lower-case ASCII letters only; other letters keep their case."""
@@ -42,13 +45,19 @@ def contains_pattern(part: Column) -> Column:
 
 
 def merchant_contains(merchant: Column, part: str) -> Column:
-    """Case-insensitive (ASCII) substring match; a NULL merchant never matches."""
-    pattern = "%" + _fold_ascii_text(part).replace("\\", "\\\\") + "%"
-    return fold_ascii(merchant).like(pattern)
+    """Case-insensitive (ASCII) substring match; a NULL merchant never matches.
+
+    The same test as ``contains_pattern``. For a part that is known up front a
+    regular expression is several times faster than folding every merchant;
+    its case flag, too, concerns ASCII letters only.
+    """
+    return merchant.rlike("(?is)" + "".join(_as_regex(c) for c in part))
 
 
-def _fold_ascii_text(text: str) -> str:
-    return text.translate(str.maketrans(UPPER, LOWER))
+def _as_regex(char: str) -> str:
+    if char in _WILDCARDS:
+        return _WILDCARDS[char]
+    return char if char.isalnum() or not char.isascii() else "\\" + char
 
 
 def or_default(value: Column, default: str) -> Column:
