@@ -3,24 +3,29 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MESSAGE_COLUMNS = ["raw_path", "text"]
+def as_messages(files: DataFrame) -> DataFrame:
+    """Path and text of whole-text files, read as a batch or as a stream.
+
+    A file that is not UTF-8 has a NULL text, so that it becomes an unreadable
+    message and not a failed job.
+    """
+    return files.select(
+        F.col("_metadata.file_path").alias("raw_path"),
+        F.when(F.is_valid_utf8("value"), F.col("value")).alias("text"),
+    )
 
 
 def scan_messages(spark: SparkSession, folder: str, nested: bool = False) -> DataFrame:
-    """Path and whole text of every ``*.json`` file; other files are ignored.
+    """Path and text of every ``*.json`` file; other files are ignored.
 
-    ``nested`` also looks into sub-folders. A file that is not UTF-8 has a
-    NULL text, so that it becomes an unreadable message and not a failed job.
+    ``nested`` also looks into sub-folders.
     """
     files = (
         spark.read.option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", nested)
         .text(folder, wholetext=True)
     )
-    return files.select(
-        F.col("_metadata.file_path").alias("raw_path"),
-        F.when(F.is_valid_utf8("value"), F.col("value")).alias("text"),
-    )
+    return as_messages(files)
 
 
 def compact(messages: DataFrame, path: str) -> None:

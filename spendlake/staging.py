@@ -5,6 +5,7 @@ written as Parquet and read back: lineage is cut, a lost executor costs one
 re-read, and later steps read only the columns they need.
 """
 
+import functools
 import tempfile
 import uuid
 
@@ -24,9 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spendlake-stage-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spendlake-stage-")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

@@ -8,10 +8,10 @@ nothing, as ids and bodies are unique in the table.
 import datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlake.plans.imports import import_messages
+from spendlake.sources.landing import as_messages
 from spendlake.sources.tables import append_emails, read_emails
 
 
@@ -30,10 +30,6 @@ def import_landed(
         .option("pathGlobFilter", "*.json")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .select(
-            F.col("_metadata.file_path").alias("raw_path"),
-            F.when(F.is_valid_utf8("value"), F.col("value")).alias("text"),
-        )
     )
 
     def one_batch(batch, _):
@@ -41,7 +37,8 @@ def import_landed(
         append_emails(new, emails_path)
 
     return (
-        files.writeStream.foreachBatch(one_batch)
+        as_messages(files)
+        .writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -176,15 +176,17 @@ def test_ask_by_hook(spark):
     assert [tuple(r) for r in answered.collect()] == [(1, '{"metric":"sum"}')]
 
 
-def test_shared_folder(spark, monkeypatch):
-    assert staging.stage_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+class Session:
+    """A session without the setting."""
 
-    class Cluster:
-        master = "yarn"
+    def __init__(self, master):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        self.sparkContext = type("Context", (), {"master": master})
 
-    class Session:
-        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
-        sparkContext = Cluster
 
+def test_shared_folder(spark):
+    assert staging.stage_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    local = staging.shared_folder(Session("local[4]"))
+    assert os.path.isdir(local) and staging.shared_folder(Session("local[2]")) == local
     with pytest.raises(ValueError):
-        staging.shared_folder(Session)
+        staging.shared_folder(Session("yarn"))
