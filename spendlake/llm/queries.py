@@ -1,9 +1,10 @@
 """Registered queries of the operators, over whole driver tables, with their SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import quality
+from spendlake.llm import minhash, mixing, packing, pii, quality
 from spendlake.llm.common import read
 
 ORACLES: dict[str, str] = {}
@@ -16,4 +17,27 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, model).select("doc_id", "result.*")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules,)}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op5_quality_rules, op6_minhash, op8_mixing, op10_pii)}
