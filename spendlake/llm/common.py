@@ -1,8 +1,9 @@
 """Small helpers that several operators share."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,51 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     place = at - np.repeat(starts, lengths)
     terms = mixed((place.astype(np.uint64) << np.uint64(8)) | b[at].astype(np.uint64))
     return mixed(np.add.reduceat(terms, np.searchsorted(at, starts))), starts
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
+
+
+def arrow_rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Tuples as a batch; ``schema`` is "name type, name type, ..."."""
+    fields = [part.split() for part in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    arrays = [pa.array(column, _ARROW[kind]) for column, (_, kind) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
+def runs(
+    df: DataFrame, keys: list[str], act: Callable[[pa.Table], Iterator[tuple]], schema: str, order: Sequence[str] = ()
+) -> DataFrame:
+    """``act(rows)`` for each run of equal ``keys`` of ``df``, in ``order``.
+
+    One run is held at a time; ``act`` yields tuples of ``schema``.
+    """
+
+    def by_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            out, size = [], 0
+            for row in act(pa.Table.from_batches(held)) if held else ():
+                out.append(row)
+                size += sum(len(x) if isinstance(x, bytes) else 8 for x in row)
+                if size > SLICE_BYTES:
+                    yield arrow_rows(out, schema)
+                    out, size = [], 0
+            held.clear()
+            if out:
+                yield arrow_rows(out, schema)
+
+        for batch in batches:
+            key = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            cuts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
+            for start, end in zip([0, *cuts], [*cuts, len(key)]):
+                if start < len(key) and key[start] != last:
+                    yield from finish()
+                    last = key[start]
+                held.append(batch.slice(start, end - start))
+        yield from finish()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(by_run, schema)

@@ -4,12 +4,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import minhash, mixing, packing, pii, quality
+from spendlake.llm import ann, minhash, mixing, packing, pii, quality, shards, spans, urls
 from spendlake.llm.common import read
+from spendlake.staging import stage_path
 
 ORACLES: dict[str, str] = {}
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without repeated runs of sentences."""
+    left = spans.without_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    kept = F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256")
+    return left.select("doc_id", "n_sentences", "n_removed", "spans", kept)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
@@ -17,6 +25,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, model).select("doc_id", "result.*")
 
 
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
@@ -28,6 +42,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every token sequence of the documents lies in the shards."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return shards.materialise(docs, public_tokenizers.path("word_bpe_49k.json"), stage_path(spark, "shards"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -35,9 +55,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_quality_rules, op6_minhash, op8_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+        op2_adaptive_scan,
+        op3_packing,
+        op4_sentence_spans,
+        op5_quality_rules,
+        op6_minhash,
+        op7_training_order,
+        op8_mixing,
+        op9_url_templates,
+        op10_pii,
+    )}

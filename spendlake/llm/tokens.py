@@ -2,11 +2,14 @@
 
 import functools
 import os
+import unicodedata
 
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 250_000
+#: Words, and bare lower-case words, whose ids a worker remembers.
+CACHED_WORDS, CACHED_CORES = 500_000, 400_000
+#: Marks that may follow a word; none of them starts a contraction.
+_MARKS = b".,;:!?"
 
 
 class WordEncoder:
@@ -14,25 +17,45 @@ class WordEncoder:
 
     Such a tokenizer gives a text the ids of its words, one after the other, so
     each distinct word is encoded once. Words are split at ASCII white space;
-    any other space stays inside its word and is left to the tokenizer.
+    any other space stays inside its word and is left to the tokenizer. With
+    ``folds`` (it lowers case, and cuts letters from marks) a word of letters with marks behind
+    it has the ids of the word in lower case, then those of the marks.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, folds: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.folds = folds
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case, and the marks behind it; other words whole."""
+        core = word.rstrip(_MARKS)
+        text = core.decode("utf-8", "replace")
+        if not self.folds or not text.isalpha():
+            return word, b""
+        if text.isascii():
+            return core.lower(), word[len(core) :]
+        # Letters must stay letters when composed and lowered; else the word is left whole.
+        whole = unicodedata.normalize("NFC", text).lower().isalpha()
+        return (core, word[len(core) :]) if whole else (word, b"")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         split = [text.split() for text in texts]
-        missing = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known = {}
-            missing = list(set().union(*split))
-        words = [word.decode("utf-8", "replace") for word in missing]
-        for word, found in zip(missing, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.known[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
-        known = self.known
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        if len(self.cores) > CACHED_CORES:
+            self.cores = {}
+        parts = {word: self._parts(word) for word in set().union(*split) - self.words.keys()}
+        missing = list({part for pair in parts.values() for part in pair} - self.cores.keys())
+        found = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in missing], add_special_tokens=False)
+        for part, encoding in zip(missing, found):
+            self.cores[part] = b"".join([i.to_bytes(4, "little") for i in encoding.ids])
+        for word, (core, marks) in parts.items():
+            self.words[word] = self.cores[core] + self.cores[marks]
+        known = self.words
         return [b"".join([known[word] for word in words]) for words in split]
 
 
