@@ -7,12 +7,14 @@ the columns of ``documents``.
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import quality
+from spendlake.llm import minhash, mixing, packing, pii, quality
 from spendlake.llm.common import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +22,32 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the least doc_id."""
+    return minhash.one_of_each(docs.select(*COLUMNS))
+
+
+def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without personal data and the terms that disclose it."""
+    return pii.sanitised(docs.select(*COLUMNS))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in training sequences."""
+    return packing.pack(docs.select(*COLUMNS), TOKENIZER)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", good_documents),
+    ("near_dedup", distinct_documents),
+    ("pii", private_documents),
+    ("mixing", mixed_sources),
+    ("packing", packed_sequences),
 ]
 
 #: The classifier, the sampling and the tokenizer are beyond SQL.

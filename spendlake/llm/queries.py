@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import ann, minhash, mixing, packing, pii, quality, shards, spans, urls
+from spendlake.llm import ann, minhash, mixing, packing, pii, quality, shards, spans, suffix, urls
 from spendlake.llm.common import read
 from spendlake.staging import stage_path
 
@@ -25,6 +25,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, model).select("doc_id", "result.*")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without the strings of smaller documents."""
+    return suffix.without_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 20th vector."""
     vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -66,6 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+        op1_suffix_dedup,
         op2_adaptive_scan,
         op3_packing,
         op4_sentence_spans,
