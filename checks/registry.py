@@ -281,14 +281,14 @@ def header_defaults(t):
 
 @check("""
     SELECT id, 'Subject: ' || coalesce(subject, '') || chr(10) || 'Body: '
-      || substr(coalesce(body_text, ''), 1, 512) AS text FROM {emails_v}""")
+      || coalesce(body_text, '') AS text FROM {emails_v}""")
 def embedding_inputs(t):
     made = text.embedding_input(F.col("subject"), F.col("body_text"))
     return t.emails_v.select("id", made.alias("text"))
 
 
 _PROMPT = """'Date: ' || coalesce(date, 'None') || chr(10) || 'Subject: ' || coalesce(subject, '')
-  || chr(10) || chr(10) || substr(coalesce(body_text, ''), 1, 2000)"""
+  || chr(10) || chr(10) || coalesce(body_text, '')"""
 
 
 @check(f"SELECT id, {_PROMPT} AS prompt FROM {{emails_v}}")
@@ -356,7 +356,7 @@ def new_bodies(t):
 def _two_key_rounds(rounds: int) -> str:
     """Each round accepts the rows that come first under both of their keys."""
     parts = [
-        """r0 AS MATERIALIZED (SELECT raw_path AS pos, coalesce('k' || id, 'p' || raw_path) AS a,
+        """r0 AS MATERIALIZED (SELECT sha256(raw_path) || raw_path AS pos, coalesce('k' || id, 'p' || raw_path) AS a,
              content_hash AS b FROM {rivals_v}
            WHERE content_hash NOT IN (SELECT content_hash FROM {stored_rivals_v})
              AND (id IS NULL OR id NOT IN (SELECT id FROM {stored_rivals_v})))"""
@@ -371,14 +371,14 @@ def _two_key_rounds(rounds: int) -> str:
         )
     won = " UNION ALL ".join(f"SELECT pos FROM w{i}" for i in range(rounds))
     return f"""WITH {", ".join(parts)}
-      SELECT id, content_hash, raw_path FROM {{rivals_v}} WHERE raw_path IN ({won})"""
+      SELECT id, content_hash, raw_path FROM {{rivals_v}} WHERE sha256(raw_path) || raw_path IN ({won})"""
 
 
 @check(_two_key_rounds(40))
 def two_key_dedup(t):
     offered = t.rivals_v
     return dedup.first_by_two_keys(
-        offered, t.stored_rivals_v, "id", "content_hash", "raw_path", last_rows=500
+        offered, t.stored_rivals_v, "id", "content_hash", "raw_path"
     ).select("id", "content_hash", "raw_path")
 
 
@@ -565,7 +565,7 @@ def tree_messages(t):
 
 
 _NEW_MAILS = f"""SELECT * FROM (
-      SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY raw_path) AS rn
+      SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY sha256(raw_path) || raw_path) AS rn
       FROM ({_DOC_MAILS}) AS d
       WHERE content_hash NOT IN (SELECT content_hash FROM {{stored_emails_v}})
         AND id NOT IN (SELECT id FROM {{stored_emails_v}})) AS e
@@ -762,7 +762,7 @@ def embed_pending(t):
 @check("""
     SELECT id AS email_id, CAST(length(text) AS INT) AS chars FROM (
       SELECT id, 'Subject: ' || coalesce(subject, '') || chr(10) || 'Body: '
-        || substr(coalesce(body_text, ''), 1, 512) AS text FROM {emails_v}
+        || coalesce(body_text, '') AS text FROM {emails_v}
       WHERE id NOT IN (SELECT email_id FROM {stored_v} WHERE email_id IS NOT NULL)) AS e
     WHERE length(text) > 100""")
 def embed_pending_hook(t):

@@ -21,8 +21,6 @@ RECEIPT_WORDS = (
 )
 # Sizes in characters, and what stands for a missing header.
 MIN_BODY_CHARS = 50
-EMBEDDING_BODY_CHARS = 512
-PROMPT_BODY_CHARS = 2000
 NO_SUBJECT = "(No Subject)"
 UNKNOWN_SENDER = "(Unknown)"
 
@@ -80,18 +78,25 @@ def receipt_candidate(subject: Column, body: Column, scope: str = "subject_first
     return F.coalesce(F.lower(text).rlike("|".join(RECEIPT_WORDS)), F.lit(False))
 
 
-def long_enough(body: Column) -> Column:
-    """At least ``MIN_BODY_CHARS`` characters; a NULL body has none."""
-    return F.coalesce(F.length(body), F.lit(0)) >= MIN_BODY_CHARS
+def long_enough(body: Column, least: int = MIN_BODY_CHARS) -> Column:
+    """At least ``least`` characters; a NULL body has none."""
+    return F.coalesce(F.length(body), F.lit(0)) >= least
 
 
-def embedding_input(subject: Column, body: Column) -> Column:
+def _body(body: Column, max_chars: int | None) -> Column:
+    """The whole body, or its first ``max_chars`` characters; NULL is empty."""
+    whole = F.coalesce(body, F.lit(""))
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
+
+
+# The literal parts of both texts.
+def embedding_input(subject: Column, body: Column, max_chars: int | None = None) -> Column:
     """The text that is turned into a vector."""
-    head = F.substring(F.coalesce(body, F.lit("")), 1, EMBEDDING_BODY_CHARS)
-    return F.concat(F.lit("Subject: "), F.coalesce(subject, F.lit("")), F.lit("\nBody: "), head)
+    shown = F.coalesce(subject, F.lit(""))
+    return F.concat(F.lit("Subject: "), shown, F.lit("\nBody: "), _body(body, max_chars))
 
 
-def extraction_prompt(date: Column, subject: Column, body: Column) -> Column:
+def extraction_prompt(date: Column, subject: Column, body: Column, max_chars: int | None = None) -> Column:
     """The text that is sent for extraction; a missing date prints ``None``."""
     return F.concat(
         F.lit("Date: "),
@@ -99,7 +104,7 @@ def extraction_prompt(date: Column, subject: Column, body: Column) -> Column:
         F.lit("\nSubject: "),
         F.coalesce(subject, F.lit("")),
         F.lit("\n\n"),
-        F.substring(F.coalesce(body, F.lit("")), 1, PROMPT_BODY_CHARS),
+        _body(body, max_chars),
     )
 
 

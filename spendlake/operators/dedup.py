@@ -5,9 +5,6 @@ from pyspark.sql import functions as F
 
 from spendlake.staging import staged
 
-# A leftover of at most this many narrow rows is finished in a single task.
-LAST_ROWS = 50_000
-
 
 def first_by_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key.
@@ -34,61 +31,45 @@ def enforce_tx_key(new: DataFrame, stored: DataFrame, order: list[Column | str])
     return once.join(stored.select("id"), "id", "left_anti").select(new.columns)
 
 
-def first_by_two_keys(
-    df: DataFrame, stored: DataFrame, one: str, two: str, order: str, last_rows: int = LAST_ROWS
-) -> DataFrame:
-    """Rows accepted when each is offered in ``order`` and both keys are unique.
+def first_by_two_keys(df: DataFrame, stored: DataFrame, one: str, two: str, order: str) -> DataFrame:
+    """Rows accepted when each is offered in turn and both keys are unique.
 
     A row is rejected by a stored row, or by an earlier row that was itself
-    accepted, with the same ``one`` or the same ``two``. A NULL ``one`` is
-    never equal to another. ``order`` is text and unique; ``two`` is never
-    NULL.
+    accepted, with the same ``one`` or the same ``two``. A NULL key is
+    never equal to another. Rows are offered in order of a hash of ``order``, then of
+    ``order`` itself: any order will do, and this one breaks chains of rivals,
+    so that a few rounds settle them however long they are. Of rows that
+    repeat an ``order``, the first by its keys is offered.
 
     Every round accepts all rows that come first under both of their keys and
-    removes their rivals; what is left goes to the next round. Only the three
-    key columns take part, and every round is a written table. Where the same
-    rivals keep meeting, each round still settles all of their chains at once;
-    when no more than ``last_rows`` rows are left, one task settles the rest.
-
-    ``df`` is read twice, so it should be a written table.
+    removes their rivals. Only three narrow columns take part, and every round is a
+    written table. ``df`` is read twice, so it should be a written table.
     """
-    own_key = F.concat(F.lit("row "), F.col(order))
-    keys = df.select(
-        F.col(order).alias("pos"),
-        F.coalesce(F.concat(F.lit("key "), F.col(one)), own_key).alias("a"),
-        F.col(two).alias("b"),
-    )
-    stored_a = stored.select(F.concat(F.lit("key "), F.col(one)).alias("a"))
-    left = staged(
-        keys.join(stored_a, "a", "left_anti").join(
-            stored.select(F.col(two).alias("b")), "b", "left_anti"
-        ),
-        "rivals",
-    )
-    accepted = []
-    while left.count() > last_rows:
+
+    def key(name: str, column: str) -> Column:
+        own = F.concat(F.lit("row "), F.col(order))
+        return F.coalesce(F.concat(F.lit("key "), F.col(column)), own).alias(name)
+
+    offered = df.select(F.concat(F.sha2(order, 256), order).alias("pos"), key("a", one), key("b", two))
+    places = staged(offered.groupBy("pos").agg(F.min(F.struct("a", "b")).alias("k"), F.count("*").alias("n")), "places")
+    left = places.select("pos", "k.a", "k.b")
+    for name, column in (("a", one), ("b", two)):
+        left = left.join(stored.select(F.concat(F.lit("key "), F.col(column)).alias(name)), name, "left_anti")
+    left, accepted = staged(left, "rivals"), None
+    while not left.isEmpty():
         first_a = left.groupBy("a").agg(F.min("pos").alias("pos"))
         first_b = left.groupBy("b").agg(F.min("pos").alias("pos"))
         won = staged(first_a.join(first_b, "pos"), "accepted")
-        accepted.append(won.select("pos"))
+        accepted = won if accepted is None else accepted.unionByName(won)
         rest = left.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti")
         left = staged(rest, "rivals")
-    last = left.coalesce(1).sortWithinPartitions("pos").mapInPandas(_in_order, left.schema)
-    winners = last.select("pos")
-    for won in accepted:
-        winners = winners.unionByName(won)
-    return df.join(winners, F.col(order) == F.col("pos"), "left_semi")
-
-
-def _in_order(batches):
-    """Offer a bounded, ordered leftover row by row."""
-    seen_a, seen_b = set(), set()
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch["a"], batch["b"]):
-            free = a not in seen_a and b not in seen_b
-            if free:
-                seen_a.add(a)
-                seen_b.add(b)
-            keep.append(free)
-        yield batch[keep]
+    # The losers are few beside the rows themselves, which may hold long texts.
+    losers = places.select("pos")
+    if accepted is not None:
+        losers = losers.join(accepted.select("pos"), "pos", "left_anti")
+    at = F.concat(F.sha2(F.col(order), 256), F.col(order))
+    kept = df.join(losers, at == F.col("pos"), "left_anti")
+    again = places.filter("n > 1").select("pos")
+    once = kept.join(again, at == F.col("pos"), "left_anti")
+    repeated = first_by_key(kept.join(again, at == F.col("pos"), "left_semi"), [order], [one, two])
+    return once.unionByName(repeated)

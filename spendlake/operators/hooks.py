@@ -1,8 +1,8 @@
 """Model calls as a column.
 
 A hook is a callable from a list of texts to a list of answers of the same
-length. It runs inside tasks, one Arrow batch at a time. If it fails on a
-batch it is asked again row by row, and a row that fails alone gets NULL.
+length. It runs inside tasks, at most ``batch`` texts at a time. If it fails
+on a batch it is asked again for each half, and a row that fails alone gets NULL.
 """
 
 from collections.abc import Callable
@@ -18,34 +18,38 @@ Hook = Callable[[list[str]], list]
 
 
 def _answers(hook: Hook, texts: list) -> list:
-    def one(text):
-        try:
-            return list(hook([text]))[0]
-        except Exception:
-            return None
-
+    if not texts:
+        return []
     try:
         answers = list(hook(texts))
     except Exception:
         answers = None
-    if answers is None or len(answers) != len(texts):
-        answers = [one(text) for text in texts]
-    return answers
+    if answers is not None and len(answers) == len(texts):
+        return answers
+    if len(texts) == 1:
+        return [answers[0] if answers else None]
+    half = len(texts) // 2
+    return _answers(hook, texts[:half]) + _answers(hook, texts[half:])
 
 
-def ask_hook(df: DataFrame, text: str, answer: str, answer_type: str, hook: Hook) -> DataFrame:
+def ask_hook(
+    df: DataFrame, text: str, answer: str, answer_type: str, hook: Hook, batch: int = 1000, tasks: int | None = None
+) -> DataFrame:
     """``df`` with the hook's answer to column ``text``.
 
-    Calls cost far more than moving their texts, so these are spread evenly.
+    Calls cost far more than moving their texts, so these are spread evenly:
+    over ``tasks``, or as Spark sees fit for their size.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @F.pandas_udf(answer_type)
     def call(texts: pd.Series) -> pd.Series:
-        return pd.Series(_answers(hook, texts.tolist()), index=texts.index, dtype=object)
+        rows = texts.tolist()
+        parts = (rows[i : i + batch] for i in range(0, len(rows), batch))
+        return pd.Series([x for part in parts for x in _answers(hook, part)], index=texts.index, dtype=object)
 
     # Not to be repeated, moved or merged: a call is costly and may vary.
-    return df.repartition(partitions).withColumn(answer, call.asNondeterministic()(F.col(text)))
+    spread = df.repartition(tasks) if tasks else df.hint("rebalance")
+    return spread.withColumn(answer, call.asNondeterministic()(F.col(text)))
 
 
 def hashed_vectors(df: DataFrame, text: str, vector: str, size: int = 256) -> DataFrame:
@@ -63,7 +67,7 @@ def rule_replies(df: DataFrame, prompt: str, reply: str) -> DataFrame:
 
     No such amount gives ``{}``. The merchant is the subject line.
     """
-    money = r"\b(USD|EUR|INR|GBP) ?(\d+(?:\.\d{1,2})?)"
+    money = r"\b([A-Z]{3}) ?(\d+(?:\.\d{1,2})?)"
     text = F.col(prompt)
     amount = F.regexp_extract(text, money, 2)
     found = F.to_json(

@@ -21,14 +21,9 @@ from spendlake.functions.dates import canonical_day
 from spendlake.functions.text import contains_pattern, fold_ascii
 from spendlake.staging import staged
 
-# Keys are broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
 _PIECE = 3
-
-
-def _broadcast_if_small(table: DataFrame) -> DataFrame:
-    """``table`` must be a written one, so that its count is read, not computed."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+#: The month of a transaction without a date, and of date text that is no plain day.
+_UNDATED, _ODD = "undated", ""
 
 
 def _pieces(text: Column) -> Column:
@@ -53,7 +48,7 @@ def _needed_piece(part: Column) -> Column:
 
 def _merchant_keys(questions: DataFrame, merchants: DataFrame) -> DataFrame:
     """The merchants that each question with a pattern asks for."""
-    asked = _broadcast_if_small(questions).filter(F.col("merchant") != "").select(
+    asked = questions.filter(F.col("merchant") != "").select(
         "qid", "metric", fold_ascii(F.col("merchant")).alias("part"), "start_date", "end_date"
     )
     patterns = asked.select(
@@ -65,9 +60,7 @@ def _merchant_keys(questions: DataFrame, merchants: DataFrame) -> DataFrame:
         "merchant", fold_ascii(F.col("merchant")).alias("name")
     )
     pieces = names.select("merchant", "name", F.explode(_pieces(F.col("name"))).alias("piece"))
-    small = questions.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(patterns) if small else patterns.hint("merge")
-    hits = pieces.join(wanted, "piece").filter(F.like("name", F.col("pattern")))
+    hits = pieces.join(patterns, "piece").filter(F.like("name", F.col("pattern")))
     return hits.select("part", "merchant").join(asked, "part").drop("part")
 
 
@@ -76,25 +69,27 @@ def _day(tx: DataFrame) -> Column:
 
 
 def _month(tx: DataFrame) -> Column:
-    """``YYYY-MM`` of a plain day; "" for other date text and for no date."""
-    return F.when(_day(tx).isNotNull(), F.substring(tx["tx_date"], 1, 7)).otherwise("")
+    """``YYYY-MM`` of a plain day; keys of their own for other text and for no date."""
+    of_day = F.when(_day(tx).isNotNull(), F.substring(tx["tx_date"], 1, 7)).otherwise(_ODD)
+    return F.when(tx["tx_date"].isNull(), _UNDATED).otherwise(of_day)
 
 
-def _month_keys(questions: DataFrame, first_day, last_day) -> DataFrame:
-    """The months of the data that each question without a pattern covers.
+def _month_keys(questions: DataFrame, months: DataFrame) -> DataFrame:
+    """Those ``months`` of the data that each question without a pattern can cover.
 
-    The key "" stands for date text that is no plain day, and for no date.
+    A month is covered unless all of its days are out of the range, compared as text. Date text
+    that is no plain day may be in any range; no date only where there is no bound.
     """
-    none = F.array().cast("array<string>")
-    months = none
-    if first_day is not None:
-        start = F.greatest(canonical_day(F.col("start_date")), F.lit(first_day))
-        end = F.least(canonical_day(F.col("end_date")), F.lit(last_day))
-        span = F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))
-        months = F.when(start <= end, F.transform(span, lambda d: F.date_format(d, "yyyy-MM")))
-    keys = F.concat(F.array(F.lit("")), F.coalesce(months, none))
-    return questions.filter(F.coalesce(F.col("merchant"), F.lit("")) == "").select(
-        "qid", "metric", "start_date", "end_date", F.explode(keys).alias("month")
+    start, end = (F.coalesce(c, F.lit("")) for c in ("start_date", "end_date"))
+    known = questions.withColumn("months", months.agg(F.array_sort(F.collect_set("month"))).scalar())
+    covered = F.filter(
+        "months",
+        lambda m: F.when(m == _UNDATED, (start == "") & (end == ""))
+        .when(m == _ODD, True)
+        .otherwise(((start == "") | (F.concat(m, F.lit("-99")) >= start)) & ((end == "") | (m <= end))),
+    )
+    return known.filter(F.coalesce(F.col("merchant"), F.lit("")) == "").select(
+        "qid", "metric", "start_date", "end_date", F.explode(covered).alias("month")
     )
 
 
@@ -121,19 +116,15 @@ def question_keys(questions: DataFrame, tx: DataFrame) -> Keys:
     """Keys of ``questions`` (``qid``, ``merchant``, ``start_date``,
     ``end_date``, ``metric``) in the merchants and months of ``tx``.
 
-    Questions, merchants and keys are written tables, so that what is
-    broadcast has a known size.
+    Questions, merchants, months and keys are written tables, so Spark knows
+    their sizes when it picks a join.
     """
     questions = staged(questions, "questions")
-    day = _day(tx)
-    merchants = staged(
-        tx.groupBy("merchant").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day")),
-        "merchants",
-    )
-    first_day, last_day = merchants.agg(F.min("first_day"), F.max("last_day")).first()
+    merchants = staged(tx.select("merchant").distinct(), "merchants")
+    months = staged(tx.select(_month(tx).alias("month")).distinct(), "months")
     by_merchant = staged(_merchant_keys(questions, merchants), "merchant-keys")
-    by_month = staged(_month_keys(questions, first_day, last_day), "month-keys")
-    return Keys(_broadcast_if_small(by_merchant), _broadcast_if_small(by_month))
+    by_month = staged(_month_keys(questions, months), "month-keys")
+    return Keys(by_merchant, by_month)
 
 
 def _join_merchants(tx: DataFrame, keys: DataFrame) -> DataFrame:

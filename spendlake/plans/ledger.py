@@ -64,7 +64,7 @@ def build_ledger(
 ) -> tuple[DataFrame, DataFrame]:
     """The transactions to append, and the summary of the run.
 
-    Replies come from a frame (``email_id``, ``reply``, one row per mail),
+    Replies come from a frame (``email_id``, ``reply``; each reply counts once),
     else from a ``hook`` on the prompt, else from a rule. A hook's replies are
     written, so that no mail is asked about twice in a run. Mails that yield
     no transaction are tried again in the next run.
@@ -74,9 +74,8 @@ def build_ledger(
     """
     waiting = prompts(emails, tx, scope)
     if replies is not None:
-        given = replies.select(F.col("email_id").alias("_reply_to"), "reply")
-        same = F.col("email_id").eqNullSafe(F.col("_reply_to"))
-        answered = waiting.select("email_id").join(given, same).drop("_reply_to")
+        asked = waiting.select(F.col("email_id").alias("_asked"))
+        answered = replies.join(asked, F.col("email_id").eqNullSafe(F.col("_asked")), "left_semi")
     elif hook is not None:
         answers = ask_hook(waiting, "prompt", "reply", "string", hook)
         answered = staged(answers.select("email_id", "reply"), "replies")

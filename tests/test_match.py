@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from spendlake import schemas
 from spendlake.operators import match
@@ -42,9 +43,7 @@ def world(spark):
     return questions, rows
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_many_questions_equal_brute_force(spark, world, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(match, "BROADCAST_ROWS", broadcast_rows)
+def test_many_questions_equal_brute_force(spark, world):
     questions, rows = world
     tx = spark.createDataFrame(rows, schemas.TX)
     q = spark.createDataFrame(questions, schemas.QUESTIONS)
@@ -102,3 +101,15 @@ def test_list_is_newest_first(spark, world):
     listed = [r.tx_date for r in run_query(tx, metric="anything").collect()]
     dated = [d for d in listed if d is not None]
     assert dated == sorted(dated, reverse=True) and listed[len(dated) :] == [None] * (400 - len(dated))
+
+
+def test_years_one_and_9999(spark):
+    """The first and the last year make no error, and no months between them."""
+    rows = [("a", "m", 1, "0001-01-01"), ("b", "m", 2, "9999-12-31"), ("c", "m", 4, None), ("d", "m", 8, "soon")]
+    tx = spark.createDataFrame(rows, "id string, merchant string, amount_cents long, tx_date string")
+    tx = tx.withColumn("currency", F.lit("USD"))
+    asked = [(1, None, None, None, "sum"), (2, "", "0001-01-01", "", "sum"), (3, None, "", "0500-01", "sum")]
+    keys = match.question_keys(spark.createDataFrame(asked, schemas.QUESTIONS), tx)
+    assert keys.by_month.count() <= 12
+    got = {r.qid: r.total for r in match.totals_of(keys, tx).collect()}
+    assert got == {1: 15, 2: 11, 3: 1}

@@ -75,12 +75,19 @@ def test_long_enough_counts_characters(column):
 
 def test_prompts(column):
     nothing = F.lit(None).cast("string")
-    assert column(lambda x: text.embedding_input(nothing, x), [None, "é" * 600]) == [
+    assert column(lambda x: text.embedding_input(nothing, x, 512), [None, "é" * 600]) == [
         "Subject: \nBody: ",
         "Subject: \nBody: " + "é" * 512,
     ]
-    assert column(lambda x: text.extraction_prompt(nothing, F.lit("S"), x), ["b" * 3000]) == [
+    assert column(lambda x: text.extraction_prompt(nothing, F.lit("S"), x, 2000), ["b" * 3000]) == [
         "Date: None\nSubject: S\n\n" + "b" * 2000
     ]
     assert column(text.transaction_id, ["m1", None]) == ["tx_m1", "tx_None"]
     assert column(lambda x: text.or_default(x, "d"), ["", None, "x"]) == ["d", "d", "x"]
+
+
+def test_whole_bodies_by_default(column):
+    nothing = F.lit(None).cast("string")
+    assert column(lambda x: text.embedding_input(nothing, x), ["é" * 600]) == ["Subject: \nBody: " + "é" * 600]
+    made = column(lambda x: text.extraction_prompt(nothing, F.lit("S"), x), ["b" * 3000 + " CHF 12.50"])
+    assert made == ["Date: None\nSubject: S\n\n" + "b" * 3000 + " CHF 12.50"]
