@@ -13,7 +13,7 @@ term occurs only with e, 0 where it says nothing. Terms seen near e in
 generalised from ``GENERALISE`` on.
 
 Spans are kind:start:end in code points. NULL and empty texts have none.
-Repeated rows get the same spans; counts take equal rows once. All of it is
+Repeated rows get the same spans, and count each. All of it is
 column expressions; spans of a text are found by splitting it at the matches,
 and running sums of the lengths are taken in blocks of the root of their number.
 """
@@ -176,26 +176,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     enough support near one value are looked up in them.
     """
     key = ["doc_id", "text_key"]
-    near = (
-        found.dropDuplicates(key)
-        .select(*key, F.explode("contexts").alias("c"))
-        .select(*key, "c.entity", F.explode("c.terms").alias("t"))
-        .select(*key, "entity", "t.term", "t.start", "t.length")
-    )
-    near = staged(near, "pii-near")
+    found = staged(found.select(*key, "contexts"), "pii-contexts")
+    near = found.select(*key, F.explode("contexts").alias("c")).select(*key, "c.entity", F.explode("c.terms").alias("t"))
+    near = near.select(*key, "entity", "t.term", "t.start", "t.length")
     total = docs.select(F.count(F.lit(1))).first()[0]
-    entities = near.select(*key, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.select(*key, "entity", "term").distinct().groupBy("entity", "term")
-    pairs = staged(pairs.agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= MIN_SUPPORT), "pii-pairs")
-    wanted = pairs.select(F.xxhash64("term").alias("term_key")).distinct()
+    held = F.array_distinct(F.transform("contexts", lambda c: c["entity"]))
+    entities = found.select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    beside = lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t["term"].alias("term")))
+    pairs = found.select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", beside)))).alias("p"))
+    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_pair"))
+    pairs = pairs.filter(F.col("n_pair") >= MIN_SUPPORT).withColumn("term_key", F.xxhash64("term"))
     words = docs.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("w")
     )
     seen = words.groupBy(F.xxhash64("w").alias("term_key")).agg(F.count("*").alias("n_term"))
-    seen = seen.join(wanted, "term_key", "left_semi")
     scored = (
-        pairs.withColumn("term_key", F.xxhash64("term"))
-        .join(seen, "term_key")
+        pairs.join(seen, "term_key")
         .join(entities, "entity")
         .withColumn(
             "disclosure",
@@ -205,16 +201,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
         .filter((F.col("n_entity") < total) & (F.col("disclosure") >= GENERALISE))
         .select("entity", "term", "disclosure")
     )
-    flagged = near.join(scored, ["entity", "term"])
-    # A term near two values keeps its strongest disclosure.
-    flagged = flagged.groupBy(*key, "start", "length").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct(
-        F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("kind"),
-        F.col("start").cast("int").alias("start"),
-        (F.col("start") + F.col("length")).cast("int").alias("end"),
+    # A term near two values keeps its strongest disclosure: the first of its place.
+    place = F.struct("start", (-F.col("disclosure")).alias("less"), "length")
+    flagged = near.join(scored, ["entity", "term"]).groupBy(*key)
+    flagged = flagged.agg(F.array_sort(F.collect_set(place)).alias("places"))
+    first = F.filter("places", lambda p, i: (i == 0) | (F.get(F.col("places"), i - 1)["start"] != p["start"]))
+    span = lambda p: F.struct(
+        F.when(p["less"] <= -REMOVE, "removed").otherwise("generalised").alias("kind"),
+        p["start"].cast("int").alias("start"),
+        (p["start"] + p["length"]).cast("int").alias("end"),
         F.lit("").alias("value"),
     )
-    return flagged.groupBy(*key).agg(F.array_sort(F.collect_list(span)).cast(_SPANS).alias("term_spans"))
+    return flagged.select(*key, F.transform(first, span).cast(_SPANS).alias("term_spans"))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
