@@ -92,7 +92,8 @@ def _wildcards(tree: DataFrame) -> DataFrame:
         tree = tree.join(crowded, on, "left").withColumn(
             f"s{level}", F.when(wild, F.lit("*")).otherwise(F.col(f"s{level}"))
         )
-        tree = tree.drop("crowded", *(f"_{c}" for c in ("host", *above)))
+        # Each level reads the last one twice: written, so that the plan stays small.
+        tree = staged(tree.drop("crowded", *(f"_{c}" for c in ("host", *above))), "url-wildcards")
     return tree
 
 
@@ -119,7 +120,7 @@ def _merged(tree: DataFrame) -> DataFrame:
         for c in (*above[1:], own):
             on = on & tree[c].eqNullSafe(branch[f"_{c}"])
         tree = tree.join(branch, on, "left").withColumn(f"m{level}", F.coalesce("number", own))
-        tree = tree.drop("number", *(f"_{c}" for c in (*above, own)))
+        tree = staged(tree.drop("number", *(f"_{c}" for c in (*above, own))), "url-merges")
     return tree
 
 
@@ -131,7 +132,7 @@ def judged_shapes(shapes: DataFrame) -> DataFrame:
     levels = [F.get("shape", F.lit(k)).alias(f"s{k}") for k in range(LEVELS)]
     tail = F.array_join(F.slice("shape", LEVELS + 1, F.greatest(F.size("shape") - LEVELS, F.lit(0))), "/")
     tree = shapes.select("*", *levels, F.when(F.size("shape") > LEVELS, tail).alias("tail"))
-    tree = staged(_merged(_wildcards(tree)), "url-tree")
+    tree = _merged(_wildcards(tree))
     merged = [f"m{k}" for k in range(LEVELS)]
     purity = F.lit(None).cast("double")
     judged = tree
@@ -155,6 +156,7 @@ def judge(pages: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     pages = pages.withColumn("fit", ruled(F.col("host"), F.col("path"))).withColumn("shape", shaped(F.col("path")))
+    pages = staged(pages, "url-pages")
     blocked = F.when(F.col("fit.verdict") == "block", 1).otherwise(0)
     shapes = pages.groupBy("host", "shape").agg(
         F.count("*").alias("pages"),
