@@ -4,16 +4,16 @@ Vectors are dealt to lists by their nearest centre (fitted on a bounded sample,
 ``sample_rows``); every vector is indexed. Vectors and queries are rotated by one random orthogonal
 matrix and kept in blocks of dimensions. Within each list that a query probes, the scan adds one block at a time
 to the partial products; after each, a candidate goes where a test on the
-unseen dimensions (their product is about normal after the rotation) makes the query's
-20th best so far unreachable. What is left is scored exactly, in double precision, on the original vectors.
+unseen dimensions (their product is about normal after the rotation) puts a bound out of reach: the
+query's 20th best score within a part of the sample, which the true ones are not below. What is left is scored exactly, in double precision, on the original vectors.
 
 How many lists to probe is measured: the exact neighbours of a bounded sample of
 queries (``tuning_queries``) are found among all vectors, and the fewest lists that hold
 ``target`` of them are probed.
 
 Vectors that are NULL, zero, or hold NULL or non-finite components take no part,
-nor do those of another length than the most frequent one, or without id. Repeated ids are
-rows of their own; a query skips rows with its id. An empty table gives no rows.
+nor do those of another length than the most frequent one, or without id. Rows with one
+id and one score count once; a query skips rows with its id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ TARGET = 0.97
 BLOCK = 16
 #: Standard deviations that the unseen dimensions are given.
 DOUBT = 3.5
-#: Vectors, and queries, that one scan holds.
-PART_ROWS, PART_QUERIES = 20_000, 4_000
+#: Vectors, and queries, that one scan holds, and pairs that it weighs at a time.
+PART_ROWS, PART_QUERIES, PAIRS = 20_000, 4_000, 1 << 20
+#: Rows of the sample that give each query its first bound.
+BOUND_ROWS = 4096
 MOST_LISTS = 1024
 
 
@@ -76,7 +78,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: str = "<f8") -> np.ndarray
 
 
 def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of ``x`` with ``q``; equal rows get equal scores."""
+    """Inner products of rows with rows (or one row); equal rows get equal scores."""
     return (x * q).sum(1)
 
 
@@ -84,36 +86,53 @@ def _best(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:top]
 
 
-def scan(x: np.ndarray, rotated: np.ndarray, tails: np.ndarray, ids: np.ndarray, q: np.ndarray, rq: np.ndarray,
-         query_id: int, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the best rows for one query, by the adaptive dimension scan.
+def _top_of_each(query: np.ndarray, scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
+    """Positions of the best ``top`` of each query, by query, score and id."""
+    order = np.lexsort((ids, -scores, query))
+    ordered = query[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return order[place < top]
 
-    ``tails[i, b]`` is the length of row i from block b on.
+
+def scan(x: np.ndarray, rotated: np.ndarray, ids: np.ndarray, queries: np.ndarray, turned: np.ndarray,
+         query_ids: np.ndarray, bounds: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, id and score of the best rows for each query, by the adaptive dimension scan.
+
+    ``x`` and ``queries`` are the original vectors, ``rotated`` and ``turned`` the rotated
+    ones. ``bounds``: scores that the ``top`` best of a query are known to reach.
     """
-    blocks = tails.shape[1]
-    lengths = [float(np.linalg.norm(rq[b * BLOCK :])) for b in range(blocks)]
-    left = np.flatnonzero(ids != query_id)
-    seeds = left[: 4 * top]  # their exact scores give the first bound
-    first = _scores(x[seeds], q)
-    bound = np.sort(first)[-top] if len(seeds) >= top else -np.inf
-    partial = np.zeros(len(left))
-    for b in range(blocks):
-        at = slice(b * BLOCK, (b + 1) * BLOCK)
-        partial = partial + rotated[left, at] @ rq[at]
-        if b + 1 < blocks:
-            unseen = rotated.shape[1] - (b + 1) * BLOCK
-            reach = tails[left, b + 1] * lengths[b + 1]
-            chance = reach * min(1.0, DOUBT / np.sqrt(unseen))
-        else:
-            reach = chance = 0.0
-        keep = partial + chance + 1e-5 * tails[left, 0] * lengths[0] >= bound
-        left, partial = left[keep], partial[keep]
-        if b + 1 < blocks and len(left) > top:
-            sure = partial - (reach[keep] if b + 1 < blocks else 0.0)
-            bound = max(bound, np.partition(sure, -top)[-top] - 1e-5 * float(tails[left, 0].max()) * lengths[0])
-    exact = _scores(x[left], q)
-    best = _best(exact, ids[left], top)
-    return ids[left][best], exact[best]
+    starts = range(0, x.shape[1], BLOCK)
+    tails = np.sqrt(np.stack([(rotated[:, s:] ** 2).sum(1) for s in starts], axis=1))
+    lengths = np.sqrt(np.stack([(turned[:, s:] ** 2).sum(1) for s in starts], axis=1))
+    found = []
+    width = max(1, PAIRS // len(x))
+    for a in range(0, len(queries), width):
+        q = np.arange(a, min(a + width, len(queries)))
+        partial = rotated[:, :BLOCK] @ turned[q, :BLOCK].T
+        slack = 1e-5 * np.outer(tails[:, 0], lengths[q, 0])
+        reach = np.outer(tails[:, 1], lengths[q, 1]) if len(starts) > 1 else 0 * slack
+        keep = partial + _likely(reach, x.shape[1] - BLOCK) + slack >= bounds[q]
+        keep &= ids[:, None] != query_ids[q]
+        row, column = np.nonzero(keep)
+        partial, query = partial[row, column], q[column]
+        for b, s in enumerate(starts):
+            if b == 0:
+                continue
+            partial = partial + _scores(rotated[row, s : s + BLOCK], turned[query, s : s + BLOCK])
+            reach = tails[row, b + 1] * lengths[query, b + 1] if b + 1 < len(starts) else 0.0
+            likely = _likely(reach, x.shape[1] - s - BLOCK)
+            keep = partial + likely + 1e-5 * tails[row, 0] * lengths[query, 0] >= bounds[query]
+            row, query, partial = row[keep], query[keep], partial[keep]
+        exact = _scores(x[row], queries[query])
+        best = _top_of_each(query, exact, ids[row], top)
+        found.append((query[best], ids[row][best], exact[best]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _likely(reach, unseen: int):
+    """What the unseen dimensions may add: all of ``reach``, or DOUBT deviations of it."""
+    return reach * min(1.0, DOUBT / np.sqrt(unseen)) if unseen > 0 else 0.0
 
 
 def search(
@@ -136,15 +155,17 @@ def search(
     if not total:
         return _ranked(spark.createDataFrame([], result), top)
     chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows)
-    sample = np.array([r["vector"] for r in chosen.select("vector").toLocalIterator()])
+    taken = chosen.toPandas()
+    sample, sample_ids = np.stack(taken["vector"].to_numpy()), taken["vec_id"].to_numpy()
     lists = int(min(len(sample), MOST_LISTS, max(1, round(np.sqrt(total)))))
     middle = centres(sample, lists, seed)
     width = sample.shape[1]
     turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))[0]
-    shared = spark.sparkContext.broadcast((middle, turn))  # MOST_LISTS * width + width * width numbers
+    some = (sample[:BOUND_ROWS], sample_ids[:BOUND_ROWS])
+    shared = spark.sparkContext.broadcast((middle, turn, some))  # (MOST_LISTS + width + BOUND_ROWS) * width numbers
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, turned = shared.value
+        found, turned, _ = shared.value
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
             if len(x):
@@ -159,45 +180,59 @@ def search(
     picked = staged(index.join(asked.select("vec_id").distinct(), "vec_id", "left_semi"), "ann-queries")
     probes = _probes(index, picked, middle, top, target, tuning_queries, seed)
 
+    columns = "list long, vec_id long, vector binary, rotated binary"
+
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value[0]
+        found, _, (near, near_ids) = shared.value
         for batch in batches:
-            if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column(2)) @ found.T), axis=1, kind="stable")[:, :probes]
-                ids = batch.column(0).to_pylist()
-                pairs = [(int(n), i, v, r) for i, v, r, row in zip(
-                    ids, batch.column(2).to_pylist(), batch.column(3).to_pylist(), near) for n in row]
-                yield arrow_rows(pairs, "list long, vec_id long, vector binary, rotated binary")
-
-    probed = picked.select("vec_id", "list", "vector", "rotated")
-    probed = probed.mapInArrow(probing, "list long, vec_id long, vector binary, rotated binary")
+            if not batch.num_rows:
+                continue
+            x, ids = _matrix(batch.column(2)), batch.column(0).to_numpy()
+            scores = x @ near.T
+            scores[ids[:, None] == near_ids] = -np.inf
+            known = np.partition(scores, -top, axis=1)[:, -top] if len(near) >= top else np.full(len(x), -np.inf)
+            lists = np.argsort(-(x @ found.T), axis=1, kind="stable")[:, :probes]
+            rows = zip(ids.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), known.tolist(), lists)
+            pairs = [(int(n), i, v, r, k) for i, v, r, k, own in rows for n in own]
+            yield arrow_rows(pairs, columns + ", bound double")
+
+    def seeding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, near_ids = shared.value[2]
+        for batch in batches:
+            out = []
+            for query_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                scores = _scores(near, np.frombuffer(data, "<f8"))
+                best = _best(np.where(near_ids == query_id, -np.inf, scores), near_ids, top)
+                out.extend((query_id, int(near_ids[i]), float(scores[i])) for i in best if near_ids[i] != query_id)
+            yield arrow_rows(out, result)
+
+    # What gave a query its bound is found in any case.
+    seeds = picked.select("vec_id", "vector").mapInArrow(seeding, result)
+    probed = picked.select("vec_id", "list", "vector", "rotated").mapInArrow(probing, columns + ", bound double")
     # Long lists, and lists that many queries probe, are scanned in parts.
     parts = index.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     shares = probed.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).alias("shares"))
     sizes = staged(parts.join(shares, "list"), "ann-parts")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     stored = index.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    stored = stored.withColumn("share", every("shares")).withColumn("is_query", F.lit(0))
+    stored = stored.withColumn("share", every("shares")).withColumn("bound", F.lit(None).cast("double"))
     asking = probed.join(sizes, "list").withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares")))
-    asking = asking.withColumn("part", every("parts")).withColumn("is_query", F.lit(1))
-    columns = ["list", "part", "share", "is_query", "vec_id", "vector", "rotated"]
+    asking = asking.withColumn("part", every("parts"))
+    names = ["list", "part", "share", "bound", "vec_id", "vector", "rotated"]
 
     def scanned(table: pa.Table) -> Iterator[tuple]:
-        query = table.column("is_query").to_numpy() == 1
+        bound = table.column("bound").to_pandas().to_numpy(float)
+        query = ~np.isnan(bound)  # stored vectors have no bound
         ids = table.column("vec_id").to_numpy()
         if query.all() or not query.any():
             return
         x, rotated = _matrix(table.column("vector")), _matrix(table.column("rotated"), "<f4")
-        own, turned, known = x[~query], rotated[~query].astype(float), ids[~query]
-        starts = range(0, x.shape[1], BLOCK)
-        tails = np.sqrt(np.stack([(turned[:, s:] ** 2).sum(1) for s in starts], axis=1))
-        for i in np.flatnonzero(query).tolist():
-            found, scores = scan(own, turned, tails, known, x[i], rotated[i].astype(float), int(ids[i]), top)
-            for vec_id, score in zip(found.tolist(), scores.tolist()):
-                yield int(ids[i]), vec_id, score
-
-    both = stored.select(*columns).union(asking.select(*columns))
-    return _ranked(runs(both, ["list", "part", "share"], scanned, result), top)
+        own = (x[~query], rotated[~query], ids[~query])
+        numbers, found, scores = scan(*own, x[query], rotated[query], ids[query], bound[query], top)
+        yield from zip(ids[query][numbers].tolist(), found.tolist(), scores.tolist())
+
+    both = stored.select(*names).union(asking.select(*names))
+    return _ranked(runs(both, ["list", "part", "share"], scanned, result).union(seeds).distinct(), top)
 
 
 def _ranked(found: DataFrame, top: int) -> DataFrame:
