@@ -27,7 +27,7 @@ from spendlake.llm.common import arrow_rows, slices, staged, text_bytes, word_ha
 MIN_SENTENCES = 3
 MIN_WORDS = 20
 #: One word in so many ends a sentence by its hash.
-HASH_END = 16
+HASH_END = 8
 _END = re.compile(rb"[.!?,;:][\"')\]]*$")
 
 

@@ -52,6 +52,11 @@ _TEXT, _SHARED, _MAP, _PIECES, _BITS = range(5)
 _SCHEMA = "block long, kind int, bucket long, payload binary"
 
 
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """Sum of the sizes before each."""
+    return np.cumsum(sizes) - sizes
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed binary."""
     sizes = np.array([a.nbytes for a in arrays], "<i8")
@@ -61,7 +66,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
 def _unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
     data = zstandard.decompress(payload)
     sizes = np.frombuffer(data, "<i8", len(kinds))
-    starts = 8 * len(kinds) + np.r_[0, np.cumsum(sizes)[:-1]]
+    starts = 8 * len(kinds) + _before(sizes)
     return [
         np.frombuffer(data, kind, int(n) // np.dtype(kind).itemsize, int(a))
         for kind, n, a in zip(kinds, sizes, starts)
@@ -201,7 +206,7 @@ def _pieces_of(table: pa.Table, anchor_buckets: int, piece_buckets: int) -> Iter
     single = chosen[hot[place[chosen]]]
     # Windows of hot anchors one by one.
     repeat = counts[single]
-    ones = np.repeat(starts[single] - np.r_[0, np.cumsum(repeat)[:-1]], repeat) + np.arange(repeat.sum())
+    ones = np.repeat(starts[single] - _before(repeat), repeat) + np.arange(repeat.sum())
     begin = np.r_[starts[whole], ones]
     size = np.r_[counts[whole], np.ones(len(ones), np.int64)]
     home = np.r_[_bucket(mixed(identity[whole]), piece_buckets).astype(np.int64), np.full(len(ones), -1)]
@@ -224,7 +229,7 @@ def _pieces_of(table: pa.Table, anchor_buckets: int, piece_buckets: int) -> Iter
         numbers = np.array([k for _, _, k in pieces])
         sizes = np.array([len(t) - LENGTH + 1 for t, _, _ in pieces])
         homes[numbers], windows[numbers] = h, sizes
-        base[numbers] = np.r_[0, np.cumsum(sizes)[:-1]]
+        base[numbers] = _before(sizes)
         least[numbers] = [d for _, d, _ in pieces]
         texts = np.frombuffer(b"".join(t for t, _, _ in pieces), "u1")
         yield number, _PIECES, h, _packed(sizes.astype("<i4"), least[numbers].astype("<i8"), texts)
@@ -307,8 +312,8 @@ def _repeated(table: pa.Table) -> Iterator[tuple]:
     documents = np.repeat(np.concatenate([d for _, d, _ in sent]), sizes)
     text = b"".join(t.tobytes() for _, _, t in sent)
     padded = text + b"\0" * (4 * COVER + 16)
-    begins = np.r_[0, np.cumsum(sizes + LENGTH - 1)[:-1]]
-    suffixes = np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    begins = _before(sizes + LENGTH - 1)
+    suffixes = np.repeat(begins - _before(sizes), sizes) + np.arange(sizes.sum())
     window = np.full(len(text), -1)
     window[suffixes] = np.arange(len(suffixes))
     ranks = cover_ranks(padded, len(text))
@@ -343,15 +348,15 @@ def _cleaned(table: pa.Table, with_text: bool) -> Iterator[tuple]:
     block = Block(rows[_TEXT, 0])
     begin, piece, homes, base, windows, least = _unpacked(rows[_MAP, 0], "<i8", "<i4", "<i4", "<i8", "<i4", "<i8")
     bits = np.zeros(int(windows.sum()), bool)  # of each piece's windows, piece by piece
-    first = np.r_[0, np.cumsum(windows)[:-1]].astype(np.int64)
+    first = _before(windows).astype(np.int64)
     for h in np.unique(homes).tolist():
         mine = np.flatnonzero(homes == h)
         n = windows[mine]
-        local = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+        local = np.arange(n.sum()) - np.repeat(_before(n), n)
         sent = np.unpackbits(_unpacked(rows[_BITS, h], "u1")[0], count=int(n.sum())) > 0
         bits[np.repeat(first[mine], n) + local] = sent[np.repeat(base[mine], n) + local]
     n = windows[piece].astype(np.int64)
-    local = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    local = np.arange(n.sum()) - np.repeat(_before(n), n)
     later = np.repeat(block.ids[block.owner(begin)] > least[piece], n)
     gone = bits[np.repeat(first[piece], n) + local] | later
     at = (np.repeat(begin, n) + local)[gone]
