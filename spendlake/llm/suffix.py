@@ -57,13 +57,13 @@ def _before(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed binary."""
     sizes = np.array([a.nbytes for a in arrays], "<i8")
     return zstandard.compress(b"".join([sizes.tobytes(), *(a.tobytes() for a in arrays)]), 3)
 
 
-def _unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
+def unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
     data = zstandard.decompress(payload)
     sizes = np.frombuffer(data, "<i8", len(kinds))
     starts = 8 * len(kinds) + _before(sizes)
@@ -85,7 +85,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             known = np.array([x[0] is not None for x in held], "u1")
             lengths = np.array([len(x[1]) for x in held], "<i8")
             text = np.frombuffer(b"".join(x[1] for x in held), "u1")
-            return arrow_rows([(number, _TEXT, 0, _packed(ids, known, lengths, text))], _SCHEMA)
+            return arrow_rows([(number, _TEXT, 0, packed(ids, known, lengths, text))], _SCHEMA)
 
         for batch in batches:
             for doc_id, data in zip(batch.column(0), batch.column(1)):
@@ -104,10 +104,13 @@ class Block:
     """The documents of a block: ids, where each ends, and all bytes."""
 
     def __init__(self, payload: bytes):
-        self.ids, self.known, self.lengths, text = _unpacked(payload, "<i8", "u1", "<i8", "u1")
+        self.ids, self.known, self.lengths, text = unpacked(payload, "<i8", "u1", "<i8", "u1")
         self.data = text.tobytes()
         self.ends = np.cumsum(self.lengths)
 
+    def texts(self) -> list[bytes]:
+        return [self.data[b - n : b] for n, b in zip(self.lengths.tolist(), self.ends.tolist())]
+
     def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows with one anchor: first window, number of windows, identity of the anchor."""
         n = len(self.data) - LENGTH + 1
@@ -154,7 +157,8 @@ class Block:
         return np.searchsorted(self.ends, starts, side="right")
 
 
-def _bucket(identity: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(identity: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each 64-bit hash, by its leading bits."""
     return ((identity >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
 
 
@@ -173,7 +177,7 @@ def _anchors(block: Block, buckets: int) -> tuple[tuple, np.ndarray, np.ndarray]
 
 def _shared_anchors(table: pa.Table, hot_blocks: int) -> Iterator[tuple]:
     """Of a bucket of anchors: for each block, which are shared, and which stand in many blocks."""
-    sent = [_unpacked(x.as_py(), "<u8", "u1") for x in table.column("payload")]
+    sent = [unpacked(x.as_py(), "<u8", "u1") for x in table.column("payload")]
     anchors = [np.cumsum(a, dtype=np.uint64) for a, _ in sent]
     distinct, inverse, times = np.unique(np.concatenate(anchors), return_inverse=True, return_counts=True)
     shared = times > 1
@@ -185,7 +189,7 @@ def _shared_anchors(table: pa.Table, hot_blocks: int) -> Iterator[tuple]:
         mine = inverse[at : at + len(own)]
         at += len(own)
         bucket = table.column("bucket")[0].as_py()
-        yield block, _SHARED, bucket, _packed(np.packbits(shared[mine]), np.packbits(hot[mine]))
+        yield block, _SHARED, bucket, packed(np.packbits(shared[mine]), np.packbits(hot[mine]))
 
 
 def _pieces_of(table: pa.Table, anchor_buckets: int, piece_buckets: int) -> Iterator[tuple]:
@@ -195,10 +199,10 @@ def _pieces_of(table: pa.Table, anchor_buckets: int, piece_buckets: int) -> Iter
     block = Block(rows[_TEXT, 0])
     (starts, counts, identity), anchors, _ = _anchors(block, anchor_buckets)
     shared, hot = np.zeros((2, len(anchors)), bool)
-    bucket = _bucket(anchors, anchor_buckets)
+    bucket = bucket_of(anchors, anchor_buckets)
     for b in np.unique(bucket).tolist():
         mine = np.flatnonzero(bucket == b)
-        bits = _unpacked(rows[_SHARED, b], "u1", "u1")
+        bits = unpacked(rows[_SHARED, b], "u1", "u1")
         shared[mine], hot[mine] = (np.unpackbits(x, count=len(mine)) for x in bits)
     place = np.searchsorted(anchors, identity)
     chosen = np.flatnonzero(shared[place])
@@ -209,7 +213,7 @@ def _pieces_of(table: pa.Table, anchor_buckets: int, piece_buckets: int) -> Iter
     ones = np.repeat(starts[single] - _before(repeat), repeat) + np.arange(repeat.sum())
     begin = np.r_[starts[whole], ones]
     size = np.r_[counts[whole], np.ones(len(ones), np.int64)]
-    home = np.r_[_bucket(mixed(identity[whole]), piece_buckets).astype(np.int64), np.full(len(ones), -1)]
+    home = np.r_[bucket_of(mixed(identity[whole]), piece_buckets).astype(np.int64), np.full(len(ones), -1)]
     order = np.argsort(begin, kind="stable")  # documents ascend: the first holder is the least
     begin, size, home = begin[order], size[order], home[order]
     owners = block.ids[block.owner(begin)]
@@ -232,8 +236,8 @@ def _pieces_of(table: pa.Table, anchor_buckets: int, piece_buckets: int) -> Iter
         base[numbers] = _before(sizes)
         least[numbers] = [d for _, d, _ in pieces]
         texts = np.frombuffer(b"".join(t for t, _, _ in pieces), "u1")
-        yield number, _PIECES, h, _packed(sizes.astype("<i4"), least[numbers].astype("<i8"), texts)
-    yield number, _MAP, 0, _packed(begin.astype("<i8"), piece.astype("<i4"), homes.astype("<i4"), base.astype("<i8"),
+        yield number, _PIECES, h, packed(sizes.astype("<i4"), least[numbers].astype("<i8"), texts)
+    yield number, _MAP, 0, packed(begin.astype("<i8"), piece.astype("<i4"), homes.astype("<i4"), base.astype("<i8"),
                                    windows.astype("<i4"), least.astype("<i8"))
 
 
@@ -307,7 +311,7 @@ def suffix_order(padded: bytes, suffixes: np.ndarray, ranks: np.ndarray) -> np.n
 
 def _repeated(table: pa.Table) -> Iterator[tuple]:
     """Of a bucket of pieces: for each block, which windows also stand in a smaller document elsewhere."""
-    sent = [_unpacked(x.as_py(), "<i4", "<i8", "u1") for x in table.column("payload")]
+    sent = [unpacked(x.as_py(), "<i4", "<i8", "u1") for x in table.column("payload")]
     sizes = np.concatenate([s for s, _, _ in sent]).astype(np.int64)
     documents = np.repeat(np.concatenate([d for _, d, _ in sent]), sizes)
     text = b"".join(t.tobytes() for _, _, t in sent)
@@ -338,7 +342,7 @@ def _repeated(table: pa.Table) -> Iterator[tuple]:
     at = 0
     for block, (s, _, _) in zip(table.column("block").to_pylist(), sent):
         n = int(s.sum())
-        yield block, _BITS, table.column("bucket")[0].as_py(), _packed(np.packbits(gone[at : at + n]))
+        yield block, _BITS, table.column("bucket")[0].as_py(), packed(np.packbits(gone[at : at + n]))
         at += n
 
 
@@ -346,14 +350,14 @@ def _cleaned(table: pa.Table, with_text: bool) -> Iterator[tuple]:
     """Of a block: each document with what is left of it."""
     rows = {(k, b): x for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")))}
     block = Block(rows[_TEXT, 0])
-    begin, piece, homes, base, windows, least = _unpacked(rows[_MAP, 0], "<i8", "<i4", "<i4", "<i8", "<i4", "<i8")
+    begin, piece, homes, base, windows, least = unpacked(rows[_MAP, 0], "<i8", "<i4", "<i4", "<i8", "<i4", "<i8")
     bits = np.zeros(int(windows.sum()), bool)  # of each piece's windows, piece by piece
     first = _before(windows).astype(np.int64)
     for h in np.unique(homes).tolist():
         mine = np.flatnonzero(homes == h)
         n = windows[mine]
         local = np.arange(n.sum()) - np.repeat(_before(n), n)
-        sent = np.unpackbits(_unpacked(rows[_BITS, h], "u1")[0], count=int(n.sum())) > 0
+        sent = np.unpackbits(unpacked(rows[_BITS, h], "u1")[0], count=int(n.sum())) > 0
         bits[np.repeat(first[mine], n) + local] = sent[np.repeat(base[mine], n) + local]
     n = windows[piece].astype(np.int64)
     local = np.arange(n.sum()) - np.repeat(_before(n), n)
@@ -389,11 +393,11 @@ def without_repeats(
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(3)):
                 _, distinct, several = _anchors(Block(payload.as_py()), anchor_buckets)
-                bucket, out = _bucket(distinct, anchor_buckets), []
+                bucket, out = bucket_of(distinct, anchor_buckets), []
                 for b in np.unique(bucket).tolist():
                     mine = bucket == b
                     steps = np.diff(distinct[mine], prepend=np.uint64(0))
-                    out.append((number, _SHARED, b, _packed(steps, np.packbits(several[mine]))))
+                    out.append((number, _SHARED, b, packed(steps, np.packbits(several[mine]))))
                 yield arrow_rows(out, _SCHEMA)
 
     share = lambda table: _shared_anchors(table, hot_blocks)
