@@ -48,7 +48,9 @@ STEP, SORTED = 1 << 20, 1 << 19
 #: A perfect difference set: every shift modulo COVER is a difference of two of its members.
 COVER, MEMBERS = 13, (0, 1, 3, 9)
 
-_TEXT, _SHARED, _MAP, _PIECES, _BITS = range(5)
+#: Bits of a hash that tell anchors apart; taking two for one only costs work.
+_IDENTITY = np.uint64(0xFFFFFFFFFFFF0000)
+_TEXT, _SHARED, _PIECES, _BITS = range(4)
 _SCHEMA = "block long, kind int, bucket long, payload binary"
 
 
@@ -149,7 +151,7 @@ class Block:
             edges = np.flatnonzero(change)
             sizes = np.diff(np.r_[edges, windows])
             kept = good[edges]
-            found.append((edges[kept] + a, sizes[kept], mixed(grams[at[edges[kept]]])))
+            found.append((edges[kept] + a, sizes[kept], mixed(grams[at[edges[kept]]]) & _IDENTITY))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def owner(self, starts: np.ndarray) -> np.ndarray:
@@ -192,53 +194,69 @@ def _shared_anchors(table: pa.Table, hot_blocks: int) -> Iterator[tuple]:
         yield block, _SHARED, bucket, packed(np.packbits(shared[mine]), np.packbits(hot[mine]))
 
 
-def _pieces_of(table: pa.Table, anchor_buckets: int, piece_buckets: int) -> Iterator[tuple]:
-    """Of a block: its pieces, by bucket, and the map from them to its windows."""
-    rows = {(k, b): x for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")))}
-    number = table.column("block")[0].as_py()
-    block = Block(rows[_TEXT, 0])
-    (starts, counts, identity), anchors, _ = _anchors(block, anchor_buckets)
-    shared, hot = np.zeros((2, len(anchors)), bool)
-    bucket = bucket_of(anchors, anchor_buckets)
-    for b in np.unique(bucket).tolist():
-        mine = np.flatnonzero(bucket == b)
-        bits = unpacked(rows[_SHARED, b], "u1", "u1")
-        shared[mine], hot[mine] = (np.unpackbits(x, count=len(mine)) for x in bits)
-    place = np.searchsorted(anchors, identity)
-    chosen = np.flatnonzero(shared[place])
-    whole = chosen[~hot[place[chosen]]]
-    single = chosen[hot[place[chosen]]]
-    # Windows of hot anchors one by one.
-    repeat = counts[single]
-    ones = np.repeat(starts[single] - _before(repeat), repeat) + np.arange(repeat.sum())
-    begin = np.r_[starts[whole], ones]
-    size = np.r_[counts[whole], np.ones(len(ones), np.int64)]
-    home = np.r_[bucket_of(mixed(identity[whole]), piece_buckets).astype(np.int64), np.full(len(ones), -1)]
-    order = np.argsort(begin, kind="stable")  # documents ascend: the first holder is the least
-    begin, size, home = begin[order], size[order], home[order]
-    owners = block.ids[block.owner(begin)]
-    data, seen, out = block.data, {}, {}
-    piece = np.zeros(len(begin), np.int64)
-    for i, (a, n, h) in enumerate(zip(begin.tolist(), size.tolist(), home.tolist())):
-        text = data[a : a + n + LENGTH - 1]
-        known = seen.get(text)
-        if known is None:
-            known = seen[text] = len(seen)
-            h = zlib.crc32(text) % piece_buckets if h < 0 else h
-            out.setdefault(h, []).append((text, int(owners[i]), known))
-        piece[i] = known
-    # A piece's bits come back by bucket, in the order sent.
-    windows, least, base, homes = (np.zeros(len(seen), np.int64) for _ in range(4))
-    for h, pieces in out.items():
-        numbers = np.array([k for _, _, k in pieces])
-        sizes = np.array([len(t) - LENGTH + 1 for t, _, _ in pieces])
-        homes[numbers], windows[numbers] = h, sizes
-        base[numbers] = _before(sizes)
-        least[numbers] = [d for _, d, _ in pieces]
-        texts = np.frombuffer(b"".join(t for t, _, _ in pieces), "u1")
-        yield number, _PIECES, h, packed(sizes.astype("<i4"), least[numbers].astype("<i8"), texts)
-    yield number, _MAP, 0, packed(begin.astype("<i8"), piece.astype("<i4"), homes.astype("<i4"), base.astype("<i8"),
-                                   windows.astype("<i4"), least.astype("<i8"))
+class _Pieces:
+    """The pieces of a block: which runs of windows repeat elsewhere, each text of theirs once."""
+
+    def __init__(self, table: pa.Table, anchor_buckets: int, piece_buckets: int):
+        self.rows = {(k, b): x for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")))}
+        self.number = table.column("block")[0].as_py()
+        self.block = block = Block(self.rows[_TEXT, 0])
+        (starts, counts, identity), anchors, _ = _anchors(block, anchor_buckets)
+        shared, hot = np.zeros((2, len(anchors)), bool)
+        bucket = bucket_of(anchors, anchor_buckets)
+        for b in np.unique(bucket).tolist():
+            mine = np.flatnonzero(bucket == b)
+            bits = unpacked(self.rows[_SHARED, b], "u1", "u1")
+            shared[mine], hot[mine] = (np.unpackbits(x, count=len(mine)) for x in bits)
+        place = np.searchsorted(anchors, identity)
+        chosen = np.flatnonzero(shared[place])
+        whole = chosen[~hot[place[chosen]]]
+        single = chosen[hot[place[chosen]]]
+        # Windows of hot anchors one by one.
+        repeat = counts[single]
+        ones = np.repeat(starts[single] - _before(repeat), repeat) + np.arange(repeat.sum())
+        begin = np.r_[starts[whole], ones]
+        size = np.r_[counts[whole], np.ones(len(ones), np.int64)]
+        home = np.r_[bucket_of(mixed(identity[whole]), piece_buckets).astype(np.int64), np.full(len(ones), -1)]
+        order = np.argsort(begin, kind="stable")  # documents ascend: the first holder is the least
+        self.begin, size, home = begin[order], size[order], home[order]
+        owners = block.ids[block.owner(self.begin)]
+        data, seen = block.data, {}
+        self.by_bucket: dict[int, list[tuple[bytes, int, int]]] = {}
+        self.piece = np.zeros(len(begin), np.int64)
+        for i, (a, n, h) in enumerate(zip(self.begin.tolist(), size.tolist(), home.tolist())):
+            text = data[a : a + n + LENGTH - 1]
+            known = seen.get(text)
+            if known is None:
+                known = seen[text] = len(seen)
+                h = zlib.crc32(text) % piece_buckets if h < 0 else h
+                self.by_bucket.setdefault(h, []).append((text, int(owners[i]), known))
+            self.piece[i] = known
+        self.count = len(seen)
+
+    def sent(self) -> Iterator[tuple]:
+        """The pieces of each bucket, with the least document that holds each."""
+        for h, pieces in self.by_bucket.items():
+            sizes = np.array([len(t) - LENGTH + 1 for t, _, _ in pieces], "<i4")
+            least = np.array([d for _, d, _ in pieces], "<i8")
+            yield self.number, _PIECES, h, packed(sizes, least, np.frombuffer(b"".join(t for t, _, _ in pieces), "u1"))
+
+    def gone(self) -> np.ndarray:
+        """First bytes of all windows that a smaller document holds, from the bits that came back."""
+        windows, least = np.zeros((2, self.count), np.int64)
+        for pieces in self.by_bucket.values():
+            for text, document, k in pieces:
+                windows[k], least[k] = len(text) - LENGTH + 1, document
+        first, bits = _before(windows), np.zeros(int(windows.sum()), bool)
+        for h, pieces in self.by_bucket.items():
+            numbers = np.array([k for _, _, k in pieces])
+            n = windows[numbers]
+            sent = np.unpackbits(unpacked(self.rows[_BITS, h], "u1")[0], count=int(n.sum())) > 0
+            bits[np.repeat(first[numbers] - _before(n), n) + np.arange(n.sum())] = sent
+        n = windows[self.piece]
+        local = np.arange(n.sum()) - np.repeat(_before(n), n)
+        later = np.repeat(self.block.ids[self.block.owner(self.begin)] > least[self.piece], n)
+        return (np.repeat(self.begin, n) + local)[bits[np.repeat(first[self.piece], n) + local] | later]
 
 
 _SHIFT = np.array(
@@ -253,18 +271,26 @@ def _load(padded: bytes, at: np.ndarray, offset: int = 0) -> np.ndarray:
     return view[at].byteswap()
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Rank of each row of keys (most significant first); equal rows get equal ranks, from 1."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        sorted_key = key[order]
-        new[1:] |= sorted_key[1:] != sorted_key[:-1]
-    rank = np.zeros(len(order), np.int64)
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Rank of each key; equal keys get equal ranks, from 1."""
+    order = np.argsort(key)
+    new = np.r_[False, key[order[1:]] != key[order[:-1]]] if len(key) else np.zeros(0, bool)
+    rank = np.zeros(len(order), np.uint64)
     rank[order] = np.cumsum(new) + 1
     return rank
 
 
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Rank of each pair of ranks below 2**32."""
+    return _dense((first << np.uint64(32)) | second)
+
+
+def _named(padded: bytes, at: np.ndarray) -> np.ndarray:
+    """Rank of each position by its first COVER bytes."""
+    tail = _load(padded, at, 8) >> np.uint64(8 * (16 - COVER))
+    return _paired(_dense(_load(padded, at)), _dense(tail))
+
+
 def cover_ranks(padded: bytes, size: int) -> np.ndarray:
     """Rank of every suffix at a cover position, by its first 4 * COVER bytes; 0 elsewhere.
 
@@ -272,12 +298,11 @@ def cover_ranks(padded: bytes, size: int) -> np.ndarray:
     """
     at = np.arange(size)
     at = at[np.isin(at % COVER, MEMBERS)]
-    ranks = np.zeros(size + 4 * COVER, np.int64)
-    tail = _load(padded, at, 8) >> np.uint64(8 * (16 - COVER))
-    ranks[at] = _dense(_load(padded, at), tail)
+    ranks = np.zeros(size + 4 * COVER, np.uint64)
+    ranks[at] = _named(padded, at)
     for step in (COVER, 2 * COVER):
-        ranks[at] = _dense(ranks[at], ranks[at + step])
-    return ranks
+        ranks[at] = _paired(ranks[at], ranks[at + step])
+    return ranks.astype(np.int64)
 
 
 def suffix_order(padded: bytes, suffixes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -286,11 +311,10 @@ def suffix_order(padded: bytes, suffixes: np.ndarray, ranks: np.ndarray) -> np.n
     By the first COVER bytes; then tied runs are split again and again at a pivot, the
     suffix at the shift that both share in the cover deciding.
     """
-    head, tail = _load(padded, suffixes), _load(padded, suffixes, 8) >> np.uint64(8 * (16 - COVER))
-    order = np.lexsort((tail, head))
-    out, head, tail = suffixes[order], head[order], tail[order]
-    start = np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]
-    run = np.cumsum(start) - 1
+    name = _named(padded, suffixes)
+    order = np.argsort(name)
+    out = suffixes[order]
+    run = name[order].astype(np.int64)
     open_at = np.flatnonzero(np.bincount(run)[run] > 1)
     run = run[open_at]
     while len(open_at):
@@ -300,7 +324,7 @@ def suffix_order(padded: bytes, suffixes: np.ndarray, ranks: np.ndarray) -> np.n
         pivot = np.repeat(values[edges + sizes // 2], sizes)
         shift = _SHIFT[values % COVER, pivot % COVER]
         side = np.sign(ranks[values + shift] - ranks[pivot + shift])
-        split = np.lexsort((side, run))
+        split = np.argsort(run * 4 + side, kind="stable")
         out[open_at] = values[split]
         run, side = run[split], side[split]
         part = np.cumsum(np.r_[True, (run[1:] != run[:-1]) | (side[1:] != side[:-1])]) - 1
@@ -310,18 +334,34 @@ def suffix_order(padded: bytes, suffixes: np.ndarray, ranks: np.ndarray) -> np.n
 
 
 def _repeated(table: pa.Table) -> Iterator[tuple]:
-    """Of a bucket of pieces: for each block, which windows also stand in a smaller document elsewhere."""
-    sent = [unpacked(x.as_py(), "<i4", "<i8", "u1") for x in table.column("payload")]
-    sizes = np.concatenate([s for s, _, _ in sent]).astype(np.int64)
-    documents = np.repeat(np.concatenate([d for _, d, _ in sent]), sizes)
-    text = b"".join(t.tobytes() for _, _, t in sent)
+    """Of a bucket of pieces: for each block, which windows also stand in a smaller document elsewhere.
+
+    A piece that several blocks sent is sorted once, for the least of its documents.
+    """
+    sent, number = [], {}
+    texts: list[bytes] = []
+    for payload in table.column("payload"):
+        sizes, least, raw = unpacked(payload.as_py(), "<i4", "<i8", "u1")
+        ends, data = np.cumsum(sizes + LENGTH - 1), raw.tobytes()
+        own = np.zeros(len(sizes), np.int64)
+        for i, (a, b) in enumerate(zip((ends - sizes - LENGTH + 1).tolist(), ends.tolist())):
+            known = number.setdefault(data[a:b], len(texts))
+            if known == len(texts):
+                texts.append(data[a:b])
+            own[i] = known
+        sent.append((own, least))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - LENGTH + 1
+    holder = np.full(len(texts), np.iinfo(np.int64).max)
+    for own, least in sent:
+        np.minimum.at(holder, own, least)
+    documents = np.repeat(holder, sizes)
+    text = b"".join(texts)
     padded = text + b"\0" * (4 * COVER + 16)
-    begins = _before(sizes + LENGTH - 1)
-    suffixes = np.repeat(begins - _before(sizes), sizes) + np.arange(sizes.sum())
+    suffixes = np.repeat(_before(sizes + LENGTH - 1) - _before(sizes), sizes) + np.arange(sizes.sum())
     window = np.full(len(text), -1)
     window[suffixes] = np.arange(len(suffixes))
     ranks = cover_ranks(padded, len(text))
-    gone = np.zeros(len(suffixes), bool)
+    smallest = documents.copy()
     head = _load(padded, suffixes)
     parts = -(-len(suffixes) // SORTED)
     cuts = np.unique(np.quantile(head, np.arange(1, parts) / parts, method="lower")) if parts > 1 else head[:0]
@@ -336,34 +376,19 @@ def _repeated(table: pa.Table) -> Iterator[tuple]:
             same &= key[1:] == key[:-1]
         first = np.flatnonzero(np.r_[True, ~same])
         numbers = window[ordered]
-        own = documents[numbers]
-        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.r_[first, len(own)]))
-        gone[numbers] = least < own
-    at = 0
-    for block, (s, _, _) in zip(table.column("block").to_pylist(), sent):
-        n = int(s.sum())
-        yield block, _BITS, table.column("bucket")[0].as_py(), packed(np.packbits(gone[at : at + n]))
-        at += n
+        least = np.minimum.reduceat(documents[numbers], first)
+        smallest[numbers] = np.repeat(least, np.diff(np.r_[first, len(ordered)]))
+    begins = _before(sizes)
+    bucket = table.column("bucket")[0].as_py()
+    for block, (own, least) in zip(table.column("block").to_pylist(), sent):
+        n = sizes[own]
+        at = np.repeat(begins[own] - _before(n), n) + np.arange(n.sum())
+        yield block, _BITS, bucket, packed(np.packbits(smallest[at] < np.repeat(least, n)))
 
 
-def _cleaned(table: pa.Table, with_text: bool) -> Iterator[tuple]:
+def _cleaned(pieces: _Pieces, with_text: bool) -> Iterator[tuple]:
     """Of a block: each document with what is left of it."""
-    rows = {(k, b): x for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")))}
-    block = Block(rows[_TEXT, 0])
-    begin, piece, homes, base, windows, least = unpacked(rows[_MAP, 0], "<i8", "<i4", "<i4", "<i8", "<i4", "<i8")
-    bits = np.zeros(int(windows.sum()), bool)  # of each piece's windows, piece by piece
-    first = _before(windows).astype(np.int64)
-    for h in np.unique(homes).tolist():
-        mine = np.flatnonzero(homes == h)
-        n = windows[mine]
-        local = np.arange(n.sum()) - np.repeat(_before(n), n)
-        sent = np.unpackbits(unpacked(rows[_BITS, h], "u1")[0], count=int(n.sum())) > 0
-        bits[np.repeat(first[mine], n) + local] = sent[np.repeat(base[mine], n) + local]
-    n = windows[piece].astype(np.int64)
-    local = np.arange(n.sum()) - np.repeat(_before(n), n)
-    later = np.repeat(block.ids[block.owner(begin)] > least[piece], n)
-    gone = bits[np.repeat(first[piece], n) + local] | later
-    at = (np.repeat(begin, n) + local)[gone]
+    block, at = pieces.block, pieces.gone()
     edge = np.zeros(len(block.data) + 1, np.int32)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + LENGTH, -1)
@@ -401,11 +426,12 @@ def without_repeats(
                 yield arrow_rows(out, _SCHEMA)
 
     share = lambda table: _shared_anchors(table, hot_blocks)
-    shared = runs(text.mapInArrow(anchors, _SCHEMA), ["bucket"], share, _SCHEMA)
-    cut = lambda table: _pieces_of(table, anchor_buckets, piece_buckets)
-    pieces = staged(runs(text.union(shared), ["block"], cut, _SCHEMA), "suffix-pieces")
-    bits = runs(pieces.filter(F.col("kind") == _PIECES), ["bucket"], _repeated, _SCHEMA)
-    known = text.union(pieces.filter(F.col("kind") == _MAP)).union(bits)
+    shared = staged(runs(text.mapInArrow(anchors, _SCHEMA), ["bucket"], share, _SCHEMA), "suffix-shared")
+    # The pieces of a block are found twice, to be sent and to be read: less disk than writing them.
+    cut = lambda table: _Pieces(table, anchor_buckets, piece_buckets)
+    sent = lambda table: cut(table).sent()
+    clean = lambda table: _cleaned(cut(table), with_text)
+    known = text.union(shared)
+    bits = runs(runs(known, ["block"], sent, _SCHEMA), ["bucket"], _repeated, _SCHEMA)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
-    clean = lambda table: _cleaned(table, with_text)
-    return runs(known, ["block"], clean, schema + ", kept binary" * with_text)
+    return runs(known.union(bits), ["block"], clean, schema + ", kept binary" * with_text)
