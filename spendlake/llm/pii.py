@@ -8,12 +8,12 @@ anywhere, and p(e, t) the share where t stands near e, the disclosure of e by t
     log(p(e, t) / (p(e) p(t))) / -log p(e)
 
 that is, pointwise mutual information over the information of e: 1 where the
-term occurs only with e, 0 where it says nothing. Terms seen near e in
-``MIN_SUPPORT`` documents or more are removed from ``REMOVE`` on and
-generalised from ``GENERALISE`` on.
+term occurs only with e, 0 where it says nothing. p(e, t) / p(t) is shrunk towards p(e)
+by ``SHRINK`` documents, so that a value held by one document counts, with a little doubt.
+Terms are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on.
 
 Spans are kind:start:end in code points. NULL and empty texts have none.
-Repeated rows get the same spans, and count each. All of it is
+Repeated rows get the same spans; equal texts count once. All of it is
 column expressions; spans of a text are found by splitting it at the matches,
 and running sums of the lengths are taken in blocks of the root of their number.
 """
@@ -28,7 +28,8 @@ from spendlake.llm.common import free_name, staged
 KINDS = ("email", "ip", "card", "phone")
 #: Code points on each side of a span in which its terms stand.
 NEAR = 48
-MIN_SUPPORT = 3
+#: Documents that draw the share of a value among those of a term towards its share of all.
+SHRINK = 0.5
 REMOVE = 0.9
 GENERALISE = 0.7
 
@@ -168,36 +169,38 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
+def _disclosure(n_pair: Column, n_entity: Column, n_term: Column, total: int) -> Column:
+    """How far a term gives a value away, from the texts that hold both, either, and all texts."""
+    share = n_entity / F.lit(float(total))
+    return F.log((n_pair + SHRINK * share) / ((n_term + SHRINK) * share)) / -F.log(share)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``doc_id, text_key, term_spans``: the terms that disclose, of each text that holds any.
 
     ``found`` has ``doc_id, text_key, spans, contexts`` of the texts with base
-    spans. The counts of the terms cover every document; only terms with
-    enough support near one value are looked up in them.
+    spans. The counts of the terms cover every document.
     """
     key = ["doc_id", "text_key"]
     found = staged(found.select(*key, "contexts"), "pii-contexts")
     near = found.select(*key, F.explode("contexts").alias("c")).select(*key, "c.entity", F.explode("c.terms").alias("t"))
     near = near.select(*key, "entity", "t.term", "t.start", "t.length")
-    total = docs.select(F.count(F.lit(1))).first()[0]
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    texts = docs.select(F.xxhash64("text").alias("text_key"), F.transform(words, lambda w: F.xxhash64(w)).alias("keys"))
+    texts = staged(texts.dropDuplicates(["text_key"]), "pii-texts")
+    total = texts.count()
+    once = found.dropDuplicates(["text_key"])
     held = F.array_distinct(F.transform("contexts", lambda c: c["entity"]))
-    entities = found.select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = once.select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     beside = lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t["term"].alias("term")))
-    pairs = found.select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", beside)))).alias("p"))
+    pairs = once.select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", beside)))).alias("p"))
     pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_pair"))
-    pairs = pairs.filter(F.col("n_pair") >= MIN_SUPPORT).withColumn("term_key", F.xxhash64("term"))
-    words = docs.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("w")
-    )
-    seen = words.groupBy(F.xxhash64("w").alias("term_key")).agg(F.count("*").alias("n_term"))
+    pairs = pairs.withColumn("term_key", F.xxhash64("term"))
+    seen = texts.select(F.explode("keys").alias("term_key")).groupBy("term_key").agg(F.count("*").alias("n_term"))
     scored = (
         pairs.join(seen, "term_key")
         .join(entities, "entity")
-        .withColumn(
-            "disclosure",
-            F.log(F.col("n_pair") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-            / F.log(F.lit(float(total)) / F.col("n_entity")),
-        )
+        .withColumn("disclosure", _disclosure(F.col("n_pair"), F.col("n_entity"), F.col("n_term"), total))
         .filter((F.col("n_entity") < total) & (F.col("disclosure") >= GENERALISE))
         .select("entity", "term", "disclosure")
     )

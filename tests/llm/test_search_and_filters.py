@@ -200,3 +200,16 @@ def test_pii_terms_that_disclose_are_found_and_removed(spark):
     assert "Zebedee" not in texts[0].text and "[EMAIL]" in texts[0].text and texts[0].n_chars == len(texts[0].text)
     assert texts[10].text == rows[6][1] and texts[100].text is None
     assert pii.report(docs.limit(0)).collect() == []
+
+
+def test_pii_name_beside_a_value_of_one_document(spark):
+    """A value that one document holds counts; copies of a text count once."""
+    rows = [(0, "please write to Zebedee at zeb0@mail.org about the letter")]
+    rows += [(i, f"please look at the letter of number {i} about those others") for i in range(1, 80)]
+    rows += [(100 + i, "please copied notice about ann@mail.org") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [rows[0][1][s["start"] : s["end"]] for s in r.term_spans] for r in pii.found_spans(docs).collect()}
+    assert "Zebedee" in found[0] and not {"please", "about", "letter", "the"} & set(found[0])
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "Zebedee" not in clean[0] and clean[1] == rows[1][1]
+    assert all("copied" not in clean[100 + i] and "please" in clean[100 + i] for i in range(9))
