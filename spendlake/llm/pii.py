@@ -1,16 +1,17 @@
 """Personal data: patterns, and terms that reveal what they surround.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. The terms
-near them are then weighed by what the corpus tells: with p(e) the share of
-documents that hold the protected value e, p(t) the share that hold the term t
-anywhere, and p(e, t) the share where t stands near e, the disclosure of e by t is
+of the documents that hold them are then weighed by what the corpus tells: with p(e) the share of
+documents that hold the protected value e, p(t) the share that hold the term t,
+and p(e, t) the share that hold both, the disclosure of e by t is
 
     log(p(e, t) / (p(e) p(t))) / -log p(e)
 
 that is, pointwise mutual information over the information of e: 1 where the
 term occurs only with e, 0 where it says nothing. p(e, t) / p(t) is shrunk towards p(e)
 by ``SHRINK`` documents, so that a value held by one document counts, with a little doubt.
-Terms are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on.
+Terms are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on, at
+every place of every document, whether or not it holds the value.
 
 Spans are kind:start:end in code points. NULL and empty texts have none.
 Repeated rows get the same spans; equal texts count once. All of it is
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from spendlake.llm.common import free_name, staged
 
 KINDS = ("email", "ip", "card", "phone")
-#: Code points on each side of a span in which its terms stand.
-NEAR = 48
 #: Documents that draw the share of a value among those of a term towards its share of all.
 SHRINK = 0.5
 REMOVE = 0.9
@@ -48,24 +47,31 @@ HINTS = {
     "card": lambda text: text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": lambda text: text.rlike(r"\+[0-9]"),
 }
-TERM = r"\p{L}{3,}+"
+TERM = r"\p{L}++"
+#: Terms in more than one of so many texts are few: told to all tasks where they cannot disclose.
+FREQUENT = 200
 
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _running(lengths: Column) -> Column:
     """Sums of the elements before each element of an array of ints."""
     add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths)))).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / step).cast("int")),
-        lambda b: add(F.slice(lengths, b * step + 1, step)),
+    step = lambda own: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own)))).cast("int")
+    blocks = lambda own, k: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(own) - 1) / k).cast("int")), lambda b: add(F.slice(own, b * k + 1, k))
     )
-    return F.transform(
-        lengths,
-        lambda _, i: add(F.slice(blocks, F.lit(1), F.floor(i / step).cast("int")))
-        + add(F.slice(lengths, F.floor(i / step).cast("int") * step + 1, i % step)),
+    sums = lambda own, k, whole: F.transform(
+        own,
+        lambda _, i: add(F.slice(whole, F.lit(1), F.floor(i / k).cast("int")))
+        + add(F.slice(own, F.floor(i / k).cast("int") * k + 1, i % k)),
     )
+    return _once(lengths, lambda own: _once(step(own), lambda k: _once(blocks(own, k), lambda whole: sums(own, k, whole))))
 
 
 def _located(kind: str, matches: Column, pieces: Column, starts: Column) -> Column:
@@ -130,35 +136,28 @@ def with_base_spans(docs: DataFrame, text: str, spans: str) -> DataFrame:
     return found.drop(*(c for parts in names.values() for c in parts))
 
 
-def _context(text: Column, side: str, start: Column, end: Column) -> Column:
-    """The text beside a span and where it starts, without a word that the edge cuts."""
-    if side == "left":
-        first = F.greatest(start - NEAR, F.lit(0))
-        part = F.substring(text, first + 1, start - first)
-        lost = F.when(first > 0, F.length(F.regexp_extract(part, r"^\p{L}*", 0))).otherwise(0)
-        kept = F.when(lost > 0, F.substring(part, lost + 1, NEAR)).otherwise(part)
-        return F.struct(kept.alias("part"), (first + lost).alias("from"))
-    part = F.substring(text, end + 1, F.lit(NEAR))
-    cut = F.when(F.length(part) < NEAR, part).otherwise(F.regexp_replace(part, r"\p{L}+$", ""))
-    return F.struct(cut.alias("part"), end.alias("from"))
+def _term_keys(text: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    terms = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(terms, lambda m: F.xxhash64(F.lower(m))))
 
 
-def _terms(context: Column) -> Column:
-    """``term, start, end`` of the words of a context."""
-    matches = F.regexp_extract_all(context["part"], F.lit(TERM), F.lit(0))
-    pieces = F.split(context["part"], TERM, -1)
-    return F.transform(
-        matches,
-        lambda m, i: F.struct(
-            F.lower(m).alias("term"),
-            (
-                context["from"]
-                + F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-                + F.aggregate(F.slice(matches, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-            ).alias("start"),
-            F.length(m).alias("length"),
-        ),
+def _places(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, term_key, start, end`` of every term of every row."""
+    lengths = lambda x: F.transform(x["m"], lambda m, i: F.length(m) + F.length(F.get(x["p"], i)))
+    begin = lambda x, s, i: F.get(s, i) + F.length(F.get(x["p"], i))
+    place = lambda x, s: lambda m, i: F.struct(
+        F.xxhash64(F.lower(m)).alias("term_key"),
+        begin(x, s, i).cast("int").alias("start"),
+        (begin(x, s, i) + F.length(m)).cast("int").alias("end"),
+    )
+    split = F.struct(
+        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("p")
     )
+    places = _once(split, lambda x: _once(_running(lengths(x)), lambda s: F.transform(x["m"], place(x, s))))
+    found = docs.filter(F.col("text").rlike(TERM))
+    found = found.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(places).alias("t"))
+    return found.select("doc_id", "text_key", "t.*")
 
 
 def _entity(span: Column) -> Column:
@@ -175,47 +174,48 @@ def _disclosure(n_pair: Column, n_entity: Column, n_term: Column, total: int) ->
     return F.log((n_pair + SHRINK * share) / ((n_term + SHRINK) * share)) / -F.log(share)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, located: DataFrame) -> DataFrame:
     """``doc_id, text_key, term_spans``: the terms that disclose, of each text that holds any.
 
-    ``found`` has ``doc_id, text_key, spans, contexts`` of the texts with base
-    spans. The counts of the terms cover every document.
+    ``located`` has ``text_key, entities, keys`` (the terms of those with entities) of all rows.
     """
-    key = ["doc_id", "text_key"]
-    found = staged(found.select(*key, "contexts"), "pii-contexts")
-    near = found.select(*key, F.explode("contexts").alias("c")).select(*key, "c.entity", F.explode("c.terms").alias("t"))
-    near = near.select(*key, "entity", "t.term", "t.start", "t.length")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    texts = docs.select(F.xxhash64("text").alias("text_key"), F.transform(words, lambda w: F.xxhash64(w)).alias("keys"))
-    texts = staged(texts.dropDuplicates(["text_key"]), "pii-texts")
-    total = texts.count()
-    once = found.dropDuplicates(["text_key"])
-    held = F.array_distinct(F.transform("contexts", lambda c: c["entity"]))
-    entities = once.select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    beside = lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t["term"].alias("term")))
-    pairs = once.select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", beside)))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_pair"))
-    pairs = pairs.withColumn("term_key", F.xxhash64("term"))
-    seen = texts.select(F.explode("keys").alias("term_key")).groupBy("term_key").agg(F.count("*").alias("n_term"))
-    scored = (
-        pairs.join(seen, "term_key")
-        .join(entities, "entity")
-        .withColumn("disclosure", _disclosure(F.col("n_pair"), F.col("n_entity"), F.col("n_term"), total))
-        .filter((F.col("n_entity") < total) & (F.col("disclosure") >= GENERALISE))
-        .select("entity", "term", "disclosure")
+    total = located.select("text_key").distinct().count()
+    texts = docs.select(F.xxhash64("text").alias("text_key"), _term_keys(F.col("text")).alias("keys"))
+    words = texts.dropDuplicates(["text_key"]).select(F.explode("keys").alias("term_key"))
+    seen = staged(words.groupBy("term_key").agg(F.count("*").alias("n_term")), "pii-terms")
+    private = staged(located.filter("size(entities) > 0").dropDuplicates(["text_key"]), "pii-private")
+    holds = private.select("text_key", F.explode("entities").alias("entity"))
+    # Values of the same texts are disclosed by the same terms: they count as one.
+    mark = lambda n: F.bit_xor(F.xxhash64("text_key", F.lit(n))).alias(f"set{n}")
+    values = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), mark(1), mark(2))
+    values = staged(values.filter(F.col("n_entity") < total), "pii-values")
+    value_set = ["n_entity", "set1", "set2"]
+    held = holds.join(values, "entity").select("text_key", *value_set).distinct()
+    # A term in more texts than this discloses no value: more so the fewer texts hold it.
+    most = values.agg(F.max("n_entity")).first()[0] or 0
+    share = most / total if total else 0.0
+    limit = (most + SHRINK) / share ** (1 - GENERALISE) if most else 0.0
+    often = F.broadcast(seen.filter(F.col("n_term") > max(limit, total / FREQUENT)).select("term_key"))
+    beside = private.select("text_key", F.explode("keys").alias("term_key")).join(often, "term_key", "left_anti")
+    beside = beside.join(seen.filter(F.col("n_term") <= limit), "term_key")
+    most_pairs = F.least("n_entity", "n_term")
+    pairs = beside.join(held, "text_key").filter(
+        _disclosure(most_pairs, F.col("n_entity"), F.col("n_term"), total) >= GENERALISE
+    )
+    pairs = pairs.groupBy(*value_set, "term_key", "n_term").agg(F.count("*").alias("n_pair"))
+    scored = pairs.select(
+        "term_key", _disclosure(F.col("n_pair"), F.col("n_entity"), F.col("n_term"), total).alias("disclosure")
     )
-    # A term near two values keeps its strongest disclosure: the first of its place.
-    place = F.struct("start", (-F.col("disclosure")).alias("less"), "length")
-    flagged = near.join(scored, ["entity", "term"]).groupBy(*key)
-    flagged = flagged.agg(F.array_sort(F.collect_set(place)).alias("places"))
-    first = F.filter("places", lambda p, i: (i == 0) | (F.get(F.col("places"), i - 1)["start"] != p["start"]))
-    span = lambda p: F.struct(
-        F.when(p["less"] <= -REMOVE, "removed").otherwise("generalised").alias("kind"),
-        p["start"].cast("int").alias("start"),
-        (p["start"] + p["length"]).cast("int").alias("end"),
-        F.lit("").alias("value"),
+    # A term keeps its strongest disclosure.
+    scored = scored.filter(F.col("disclosure") >= GENERALISE).groupBy("term_key").agg(F.max("disclosure").alias("most"))
+    scored = staged(scored, "pii-scored")
+    span = F.struct(
+        "start", "end", F.when(F.col("most") >= REMOVE, "removed").otherwise("generalised").alias("kind")
     )
-    return flagged.select(*key, F.transform(first, span).cast(_SPANS).alias("term_spans"))
+    flagged = _places(docs).join(often, "term_key", "left_anti").join(scored, "term_key")
+    flagged = flagged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(span)).alias("places"))
+    spans = F.transform("places", lambda p: F.struct(p["kind"], p["start"], p["end"], F.lit("").alias("value")))
+    return flagged.select("doc_id", "text_key", spans.cast(_SPANS).alias("term_spans"))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -226,19 +226,16 @@ def found_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    located = with_base_spans(docs, "text", "spans").withColumn("text_key", F.xxhash64("text"))
-    context = lambda side: lambda s: F.struct(
-        _entity(s).alias("entity"), _context(F.col("text"), side, s["start"], s["end"]).alias("context")
+    located = with_base_spans(docs, "text", "spans").select(
+        "doc_id",
+        F.xxhash64("text").alias("text_key"),
+        "spans",
+        F.array_distinct(F.transform("spans", _entity)).alias("entities"),
+        F.when(F.size("spans") > 0, _term_keys(F.col("text"))).alias("keys"),
     )
-    sides = F.concat(F.transform("spans", context("left")), F.transform("spans", context("right")))
-    located = located.select("doc_id", "text_key", "spans", F.when(F.size("spans") > 0, sides).alias("sides"))
     located = staged(located, "pii-spans")
-    with_terms = located.filter("size(spans) > 0").withColumn(
-        "contexts",
-        F.transform("sides", lambda c: F.struct(c["entity"].alias("entity"), _terms(c["context"]).alias("terms"))),
-    )
-    terms = disclosing_terms(docs, with_terms)
-    joined = located.drop("sides").join(
+    terms = disclosing_terms(docs, located)
+    joined = located.select("doc_id", "text_key", "spans").join(
         terms.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "term_spans"),
         F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")),
         "left",
@@ -273,7 +270,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     Base spans become their kind, generalised terms ``[TERM]``; removed terms go.
     """
     key, all_spans = free_name(docs, "pii_key"), free_name(docs, "pii_spans")
-    found = found_spans(docs).filter("size(spans) > 0").dropDuplicates(["doc_id", "text_key"])
+    found = found_spans(docs).filter("size(spans) + size(term_spans) > 0").dropDuplicates(["doc_id", "text_key"])
     found = found.select(
         F.col("doc_id").alias("_doc"),
         F.col("text_key").alias("_key"),

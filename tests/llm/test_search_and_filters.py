@@ -213,3 +213,16 @@ def test_pii_name_beside_a_value_of_one_document(spark):
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert "Zebedee" not in clean[0] and clean[1] == rows[1][1]
     assert all("copied" not in clean[100 + i] and "please" in clean[100 + i] for i in range(9))
+
+
+def test_pii_terms_disclose_at_every_place(spark):
+    """Far from the value, in documents without it, and short names too."""
+    far = "please look at the letter of number about those others " * 3
+    rows = [(0, f"Bo Zebedee {far}zeb0@mail.org {far}bo Zebedee")]
+    rows += [(i, f"{far}{i}") for i in range(1, 200)] + [(300, f"{far}BO 😀 zebedee was here"), (301, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    for i in (0, 300):
+        assert "zebedee" not in clean[i].lower() and "bo" not in clean[i].lower().split()
+    assert far in clean[0] and "😀" in clean[300] and clean[301] is None
+    assert all(clean[i] == t for i, t in rows[1:200])
