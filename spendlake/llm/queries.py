@@ -4,11 +4,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import ann, minhash, mixing, packing, pii, quality, shards, spans, suffix, urls
+from spendlake.llm import ann, lines, minhash, mixing, packing, pii, quality, shards, spans, suffix, urls
 from spendlake.llm.common import read
 from spendlake.staging import stage_path
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(own) AS line, unnest(range(len(own))) AS pos, len(own) AS n
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents)
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), common AS (
+            SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+        )
+        SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, count(common.key) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id""",
+}
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +84,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without the lines that ten documents share."""
+    left = lines.without_common_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
         op1_suffix_dedup,
         op2_adaptive_scan,
@@ -81,4 +101,5 @@ QUERIES = {f.__name__: f for f in (
         op8_mixing,
         op9_url_templates,
         op10_pii,
+        op12_line_dedup,
     )}
