@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import ann, lines, minhash, mixing, packing, pii, quality, shards, spans, suffix, urls
+from spendlake.llm import ann, lines, minhash, mixing, packing, pii, quality, repair, shards, spans, suffix, urls
 from spendlake.llm.common import read
 from spendlake.staging import stage_path
 
@@ -90,6 +90,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cheapest edits that give it a lawful structure."""
+    rows = repair.damaged(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return repair.repair(rows)
+
+
 QUERIES = {f.__name__: f for f in (
         op1_suffix_dedup,
         op2_adaptive_scan,
@@ -102,4 +108,5 @@ QUERIES = {f.__name__: f for f in (
         op9_url_templates,
         op10_pii,
         op12_line_dedup,
+        op13_conversation_repair,
     )}
