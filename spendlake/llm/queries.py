@@ -4,11 +4,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import ann, lines, minhash, mixing, packing, pii, quality, repair, shards, spans, suffix, urls
+from spendlake.llm import ann, lexical, lines, minhash, mixing, packing, pii, quality, repair, shards, spans, suffix, urls
 from spendlake.llm.common import read
 from spendlake.staging import stage_path
 
 ORACLES: dict[str, str] = {
+    "op11_document_fptree": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+            ) GROUP BY ALL
+        ), held AS (
+            SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+        ), lengths AS (
+            SELECT doc_id, count(*) AS n FROM words GROUP BY ALL
+        ), totals AS (
+            SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM lengths
+        ), factors AS (
+            SELECT doc_id, 25 + (75 * n * all_docs) // all_terms AS m FROM lengths, totals
+        ), weighted AS (
+            SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals
+        ), scores AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM asked JOIN weighted USING (term) JOIN held USING (term) JOIN factors USING (doc_id) GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10""",
     "op12_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(own) AS line, unnest(range(len(own))) AS pos, len(own) AS n
@@ -84,6 +110,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_document_fptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest scores of every item."""
+    return lexical.search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps without the lines that ten documents share."""
     left = lines.without_common_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -107,6 +138,7 @@ QUERIES = {f.__name__: f for f in (
         op8_mixing,
         op9_url_templates,
         op10_pii,
+        op11_document_fptree,
         op12_line_dedup,
         op13_conversation_repair,
     )}
