@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import Inputs, oracle
 from spendlake.functions import codec, dates, html, render, replies, text, vectors
-from spendlake.operators import antijoin, dedup, hooks, match, messages, search, topk, totals
+from spendlake.operators import antijoin, dedup, hooks, match, messages, search, similar, topk, totals
 from spendlake.plans import ask, embed, imports, ledger
 from spendlake.plans.query import filter_transactions, run_query
 from spendlake.sources import landing, tables
@@ -737,6 +737,49 @@ def similar_mails(t):
     return top.select("email_id", F.round("similarity", 6).alias("similarity"))
 
 
+_BEST = """SELECT query_id, CAST(rank AS INT) AS rank, email_id, round(similarity, 6) AS similarity FROM (
+      SELECT query_id, email_id, similarity,
+        row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, email_id) AS rank FROM (
+        SELECT q.query_id, v.email_id, coalesce(list_cosine_similarity(q.vector, v.vector), 0) AS similarity
+        FROM {queries} AS q, {stored} AS v) AS pairs) AS ranked
+    WHERE rank <= 10"""
+_AS_DOUBLES = "SELECT {id}, CAST(embedding AS DOUBLE[]) AS vector FROM {{embeddings}}"
+_STORED_VECTORS = _AS_DOUBLES.format(id="CAST(vec_id AS STRING) AS email_id")
+_ASKED_VECTORS = _AS_DOUBLES.format(id="vec_id AS query_id") + " WHERE vec_id % 50 = 0"
+
+
+@check(_BEST.format(queries=f"({_ASKED_VECTORS})", stored=f"({_STORED_VECTORS})"))
+def similar_many(t):
+    """Every fiftieth vector against all vectors."""
+    stored = t.embeddings.select(F.col("vec_id").cast("string").alias("email_id"), F.col("embedding").alias("vector"))
+    asked = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = similar.similar_many(stored, asked)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+_LETTERS = "etaoinshr dlu"
+
+
+def _letter_counts(texts: list[str]) -> list[list[float]]:
+    return [[float(text.count(letter)) for letter in _LETTERS] for text in texts]
+
+
+_LETTER_COUNTS = f"""list_transform(string_split('{",".join(_LETTERS)}', ','),
+    lambda x: CAST(length(text) - length(replace(text, x, '')) AS DOUBLE)) AS vector"""
+
+
+@check(_BEST.format(
+    queries=f"(SELECT doc_id AS query_id, {_LETTER_COUNTS} FROM {{documents}} WHERE doc_id % 50 = 0)",
+    stored=f"(SELECT 'm' || CAST(doc_id AS STRING) AS email_id, {_LETTER_COUNTS} FROM {{documents}})",
+))
+def similar_to_text(t):
+    """The text of every fiftieth document against all; the model counts letters."""
+    texts = t.documents.select(F.concat(F.lit("m"), F.col("doc_id")).alias("email_id"), "text", F.col("doc_id").alias("query_id"))
+    stored = hooks.ask_hook(texts, "text", "vector", "array<float>", _letter_counts)
+    found = similar.similar_to_text(stored, texts.filter("query_id % 50 = 0"), _letter_counts)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @check("""
     SELECT vec_id, CAST(len(embedding) AS INT) AS size,
       round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM {embeddings}""")
