@@ -1,17 +1,21 @@
 """Personal data: patterns, and terms that reveal what they surround.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. The terms
-of the documents that hold them are then weighed by what the corpus tells: with p(e) the share of
-documents that hold the protected value e, p(t) the share that hold the term t,
-and p(e, t) the share that hold both, the disclosure of e by t is
-
-    log(p(e, t) / (p(e) p(t))) / -log p(e)
-
-that is, pointwise mutual information over the information of e: 1 where the
-term occurs only with e, 0 where it says nothing. p(e, t) / p(t) is shrunk towards p(e)
-by ``SHRINK`` documents, so that a value held by one document counts, with a little doubt.
-Terms are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on, at
-every place of every document, whether or not it holds the value.
+of the documents that hold them are then weighed by what the corpus tells. How
+far a term t gives a protected value e away is the share of its texts that hold e,
+
+    p(e | t) = n(e, t) / n(t)
+
+whatever the size of the corpus: removed from ``REMOVE`` on, generalised from
+``GENERALISE`` on. That counts only where the pair carries information, that is where
+co-occurrence beats chance. With p(e) the share of e among all texts by length, a term of
+n texts meets e in k of them by chance with probability exp(-n KL(k/n || p(e))) at
+most, the exponent being the information in nats. All terms of n texts and all
+values give an expected number of such pairs; a class (n, k) discloses only if it is
+seen so often that ``CHANCE`` of its pairs at most are expected by chance. So a rare
+word beside a value stays where rare words are common, and goes where they are
+not; a name in five texts with one address goes everywhere. It goes at every place of every
+document, whether or not that holds the value. A value that all texts hold is disclosed by nothing.
 
 Spans are kind:start:end in code points. NULL and empty texts have none.
 Repeated rows get the same spans; equal texts count once. All of it is
@@ -21,16 +25,17 @@ and running sums of the lengths are taken in blocks of the root of their number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.llm.common import free_name, staged
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that draw the share of a value among those of a term towards its share of all.
-SHRINK = 0.5
+#: Shares of a term's texts that hold a value.
 REMOVE = 0.9
-GENERALISE = 0.7
+GENERALISE = 0.5
+#: The most of a class of pairs that chance may explain.
+CHANCE = 0.05
 
 # A match can start at the end of the last one or where a run of its first
 # characters starts, so that a long run is read once.
@@ -48,8 +53,6 @@ HINTS = {
     "phone": lambda text: text.rlike(r"\+[0-9]"),
 }
 TERM = r"\p{L}++"
-#: Terms in more than one of so many texts are few: told to all tasks where they cannot disclose.
-FREQUENT = 200
 
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -168,51 +171,74 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def _disclosure(n_pair: Column, n_entity: Column, n_term: Column, total: int) -> Column:
-    """How far a term gives a value away, from the texts that hold both, either, and all texts."""
-    share = n_entity / F.lit(float(total))
-    return F.log((n_pair + SHRINK * share) / ((n_term + SHRINK) * share)) / -F.log(share)
+def _by_chance(n_term: Column, n_pair: Column, shares: list[tuple[float, int]]) -> Column:
+    """How many values a term of ``n_term`` texts meets ``n_pair`` times by chance, at most.
+
+    ``shares`` has shares of all texts, and how many values have each.
+    """
+    k, rest = n_pair / n_term, 1 - n_pair / n_term
+    expected = F.lit(0.0)
+    for share, values in shares:
+        lost = F.when(rest > 0, rest * F.log(rest / F.lit(1 - share))).otherwise(0.0) if share < 1 else F.lit(0.0)
+        once = F.when(k > share, F.exp(-n_term * (k * F.log(k / F.lit(share)) + lost))).otherwise(1.0)
+        expected = expected + once * values
+    return expected
 
 
-def disclosing_terms(docs: DataFrame, located: DataFrame) -> DataFrame:
-    """``doc_id, text_key, term_spans``: the terms that disclose, of each text that holds any.
+def _value_shares(values: DataFrame) -> list[tuple[float, int]]:
+    """Mean shares of the values between two powers of two, with the number of values: a row for each power."""
+    sets = values.groupBy("n_entity", "set1", "set2").agg(F.max("share").alias("share"))
+    rows = sets.groupBy(F.floor(F.log2("share")).alias("power")).agg(F.avg("share").alias("share"), F.count("*").alias("n"))
+    return sorted((r.share, r.n) for r in rows.collect())
+
 
-    ``located`` has ``text_key, entities, keys`` (the terms of those with entities) of all rows.
+def disclosure_scores(docs: DataFrame, located: DataFrame) -> DataFrame:
+    """``term_key, most``: the terms that disclose a value, and how far at most.
+
+    ``located`` has ``text_key, length, entities, keys`` (the terms of those with entities) of all rows.
     """
-    total = located.select("text_key").distinct().count()
+    sizes = located.select("text_key", "length").distinct().agg(F.count("*"), F.sum(F.col("length") + 1))
+    total, weight = sizes.first()
     texts = docs.select(F.xxhash64("text").alias("text_key"), _term_keys(F.col("text")).alias("keys"))
     words = texts.dropDuplicates(["text_key"]).select(F.explode("keys").alias("term_key"))
     seen = staged(words.groupBy("term_key").agg(F.count("*").alias("n_term")), "pii-terms")
     private = staged(located.filter("size(entities) > 0").dropDuplicates(["text_key"]), "pii-private")
-    holds = private.select("text_key", F.explode("entities").alias("entity"))
+    holds = private.select("text_key", "length", F.explode("entities").alias("entity"))
     # Values of the same texts are disclosed by the same terms: they count as one.
     mark = lambda n: F.bit_xor(F.xxhash64("text_key", F.lit(n))).alias(f"set{n}")
-    values = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), mark(1), mark(2))
+    share = (F.sum(F.col("length") + 1) / F.lit(float(weight or 1))).alias("share")
+    values = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), share, mark(1), mark(2))
     values = staged(values.filter(F.col("n_entity") < total), "pii-values")
     value_set = ["n_entity", "set1", "set2"]
     held = holds.join(values, "entity").select("text_key", *value_set).distinct()
-    # A term in more texts than this discloses no value: more so the fewer texts hold it.
-    most = values.agg(F.max("n_entity")).first()[0] or 0
-    share = most / total if total else 0.0
-    limit = (most + SHRINK) / share ** (1 - GENERALISE) if most else 0.0
-    often = F.broadcast(seen.filter(F.col("n_term") > max(limit, total / FREQUENT)).select("term_key"))
-    beside = private.select("text_key", F.explode("keys").alias("term_key")).join(often, "term_key", "left_anti")
+    # A term in more texts than this discloses no value.
+    limit = (values.agg(F.max("n_entity")).first()[0] or 0) / GENERALISE
+    beside = private.select("text_key", F.explode("keys").alias("term_key"))
     beside = beside.join(seen.filter(F.col("n_term") <= limit), "term_key")
-    most_pairs = F.least("n_entity", "n_term")
-    pairs = beside.join(held, "text_key").filter(
-        _disclosure(most_pairs, F.col("n_entity"), F.col("n_term"), total) >= GENERALISE
-    )
+    pairs = beside.join(held, "text_key").filter(F.col("n_entity") >= GENERALISE * F.col("n_term"))
     pairs = pairs.groupBy(*value_set, "term_key", "n_term").agg(F.count("*").alias("n_pair"))
-    scored = pairs.select(
-        "term_key", _disclosure(F.col("n_pair"), F.col("n_entity"), F.col("n_term"), total).alias("disclosure")
-    )
+    pairs = staged(pairs.filter(F.col("n_pair") >= GENERALISE * F.col("n_term")), "pii-pairs")
+    classes = pairs.groupBy("n_term", "n_pair").agg(F.count("*").alias("observed"))
+    classes = classes.join(seen.groupBy("n_term").agg(F.count("*").alias("n_terms")), "n_term")
+    chance = F.col("n_terms") * _by_chance(F.col("n_term"), F.col("n_pair"), _value_shares(values))
+    told = classes.filter(chance <= CHANCE * F.col("observed")).select("n_term", "n_pair")
     # A term keeps its strongest disclosure.
-    scored = scored.filter(F.col("disclosure") >= GENERALISE).groupBy("term_key").agg(F.max("disclosure").alias("most"))
-    scored = staged(scored, "pii-scored")
+    scored = pairs.join(told, ["n_term", "n_pair"]).groupBy("term_key")
+    return scored.agg(F.max(F.col("n_pair") / F.col("n_term")).alias("most"))
+
+
+def disclosing_terms(docs: DataFrame, located: DataFrame) -> DataFrame:
+    """``doc_id, text_key, term_spans``: the terms that disclose, of each text that holds any."""
+    scored = staged(disclosure_scores(docs, located), "pii-scored")
+    # Places are worked out only for the texts that hold such a term.
+    text_key = F.xxhash64("text")
+    own = docs.select(text_key.alias("text_key"), F.explode(_term_keys(F.col("text"))).alias("term_key"))
+    holders = staged(own.join(scored, "term_key", "left_semi").select("text_key").distinct(), "pii-holders")
+    flagged = docs.join(holders, text_key == holders["text_key"], "left_semi")
     span = F.struct(
         "start", "end", F.when(F.col("most") >= REMOVE, "removed").otherwise("generalised").alias("kind")
     )
-    flagged = _places(docs).join(often, "term_key", "left_anti").join(scored, "term_key")
+    flagged = _places(flagged).join(scored, "term_key")
     flagged = flagged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(span)).alias("places"))
     spans = F.transform("places", lambda p: F.struct(p["kind"], p["start"], p["end"], F.lit("").alias("value")))
     return flagged.select("doc_id", "text_key", spans.cast(_SPANS).alias("term_spans"))
@@ -229,6 +255,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     located = with_base_spans(docs, "text", "spans").select(
         "doc_id",
         F.xxhash64("text").alias("text_key"),
+        F.length("text").alias("length"),
         "spans",
         F.array_distinct(F.transform("spans", _entity)).alias("entities"),
         F.when(F.size("spans") > 0, _term_keys(F.col("text"))).alias("keys"),
@@ -264,43 +291,46 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _cuts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, cuts``: what goes from each text that has spans, in order.
+
+    A cut is ``(low, start, end, shown)``: the text from ``low`` stays up to ``start``, and
+    ``shown`` stands for what follows up to ``end``. Overlapping spans: each begins where those before it have ended.
+    """
+    found = found_spans(docs).dropDuplicates(["doc_id", "text_key"])
+    spans = found.select("doc_id", "text_key", F.inline(F.concat("spans", "term_spans"))).drop("value")
+    # A row for each span: the furthest end before it is a running maximum over the spans of its text.
+    before = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("low", F.coalesce(F.max("end").over(before), F.lit(0))).filter(F.col("end") > F.col("low"))
+    shown = F.when(F.col("kind") == "removed", "").when(F.col("kind") == "generalised", "[TERM]")
+    shown = shown.otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
+    shown = F.when(F.col("start") < F.col("low"), "").otherwise(shown)
+    cut = F.struct("low", F.greatest("start", "low").alias("start"), "end", shown.alias("shown"))
+    return spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
+
+
+def _cut(text: Column, cuts: Column) -> Column:
+    """``text`` without the cuts: one pass over its characters."""
+    whole = F.struct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("chars"), cuts.alias("cuts"))
+    kept = lambda x, low, high: F.array_join(F.slice(x["chars"], low + 1, high - low), "")
+    parts = lambda x: F.transform(x["cuts"], lambda c: F.concat(kept(x, c["low"], c["start"]), c["shown"]))
+    last = lambda x: F.element_at(x["cuts"], -1)["end"]
+    return _once(whole, lambda x: F.concat(F.array_join(parts(x), ""), kept(x, last(x), F.size(x["chars"]))))
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced in ``text``, and ``n_chars`` (if there) to match.
 
     Base spans become their kind, generalised terms ``[TERM]``; removed terms go.
     """
-    key, all_spans = free_name(docs, "pii_key"), free_name(docs, "pii_spans")
-    found = found_spans(docs).filter("size(spans) + size(term_spans) > 0").dropDuplicates(["doc_id", "text_key"])
-    found = found.select(
-        F.col("doc_id").alias("_doc"),
-        F.col("text_key").alias("_key"),
-        F.array_sort(
-            F.transform(F.concat("spans", "term_spans"), lambda s: F.struct(s["start"], s["end"], s["kind"]))
-        ).alias(all_spans),
-    )
+    key, cuts = free_name(docs, "pii_key"), free_name(docs, "pii_cuts")
+    found = _cuts(docs).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("cuts").alias(cuts))
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = rows.join(
         found, rows["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (rows[key] == F.col("_key")), "left"
     )
-    spans, text = F.col(all_spans), F.col("text")
-    # Overlapping spans: each begins where those before it have ended.
-    ends = F.transform(
-        spans,
-        lambda _, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda s: s["end"])), F.lit(0)),
-    )
-    shown = lambda s: F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", "[TERM]").otherwise(
-        F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    )
-    parts = F.transform(
-        spans,
-        lambda s, i: F.concat(
-            F.substring(text, F.get(ends, i) + 1, F.greatest(s["start"] - F.get(ends, i), F.lit(0))),
-            F.when(s["start"] >= F.get(ends, i), shown(s)).otherwise(""),
-        ),
-    )
-    last = F.array_max(F.transform(spans, lambda s: s["end"]))
-    clean = F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
-    out = rows.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text))
+    touched = F.col(cuts).isNotNull()
+    out = rows.withColumn("text", F.when(touched, _cut(F.col("text"), F.col(cuts))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
