@@ -16,6 +16,8 @@ from spendlake.operators import antijoin, dedup, hooks, match, messages, search,
 from spendlake.plans import ask, embed, imports, ledger
 from spendlake.plans.query import filter_transactions, run_query
 from spendlake.sources import landing, tables
+from spendlake.sources.keys import KeySet
+from spendlake.sources.ledger import Ledger
 from spendlake.staging import stage_path
 
 TODAY = datetime.date(2024, 3, 31)
@@ -120,13 +122,31 @@ _ASKED = f"""({_FOLDED.format("t.merchant")} LIKE
   AND (q.end_date IS NULL OR t.tx_date <= q.end_date)"""
 
 
-@check(f"""
+_QUESTION_TOTALS = f"""
     SELECT qid, currency, CAST(SUM(amount_cents) AS BIGINT) AS total
-    FROM {{questions_v}} q JOIN {{tx_v}} t ON {_ASKED} GROUP BY qid, currency""")
+    FROM {{questions_v}} q JOIN {{tx_v}} t ON {_ASKED} GROUP BY qid, currency"""
+
+
+@check(_QUESTION_TOTALS)
 def question_totals(t):
     return match.totals_by_question(t.questions_v, t.tx_v)
 
 
+def _ledger(t) -> Ledger:
+    """The transactions in two runs, one of them tried twice."""
+    made = Ledger(t.spark, stage_path(t.spark, "ledger")).create()
+    odd = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    for run, part in (("one", t.tx_v), ("one", t.tx_v.filter(odd)), ("two", t.tx_v.filter(~odd))):
+        made.append(part, run)
+    return made
+
+
+@check(_QUESTION_TOTALS)
+def ledger_question_totals(t):
+    """From a stored ledger: open questions by its summaries, others by the months asked about."""
+    return _ledger(t).totals(t.questions_v)
+
+
 @check(f"""
     SELECT qid, id, amount_cents, tx_date
     FROM {{questions_v}} q JOIN {{tx_v}} t ON {_ASKED} AND q.metric = 'list'""")
@@ -172,7 +192,7 @@ def no_match_lines(t):
     return ask.no_match_lines(t.questions_v, match.totals_by_question(t.questions_v, t.tx_v))
 
 
-@check(f"""WITH {_TOTALS}, {_FOUND}
+_ANSWERS = f"""WITH {_TOTALS}, {_FOUND}
     SELECT qid, 1 AS part, {_NO_DATE}, {_SUM_LINE} AS line FROM totals
     UNION ALL SELECT qid, 1, tx_date, {_LIST_LINE} FROM found
     UNION ALL SELECT qid, 0, NULL, printf('Found %d transactions:', COUNT(*)) FROM found
@@ -180,11 +200,19 @@ def no_match_lines(t):
     UNION ALL SELECT qid, 0, NULL, '{render.NO_MATCH}' FROM {{questions_v}}
     WHERE qid NOT IN (SELECT qid FROM totals) AND qid NOT IN (SELECT qid FROM found)
     UNION ALL SELECT qid, 0, NULL, '{render.NOT_UNDERSTOOD}' FROM {{intent_replies_v}}
-    WHERE qid BETWEEN 2000 AND 2999""")
+    WHERE qid BETWEEN 2000 AND 2999"""
+
+
+@check(_ANSWERS)
 def ask_many(t):
     return ask.ask_many(t.intent_replies_v, t.tx_v)
 
 
+@check(_ANSWERS)
+def ask_ledger(t):
+    return ask.ask_ledger(t.intent_replies_v, _ledger(t))
+
+
 @check("""
     SELECT qid, nullif(merchant, '') AS merchant, start_date, end_date, metric, TRUE AS understood
     FROM {questions_v}
@@ -329,20 +357,44 @@ def messages_to_land(t):
     return imports.messages_to_land(known, landed, TODAY, 30).drop("day")
 
 
-@check("""
+_WITHOUT_VECTOR = """
     SELECT id, raw_path FROM {emails_null_v} e
-    WHERE NOT EXISTS (SELECT 1 FROM {stored_v} s WHERE s.email_id = e.id)""")
+    WHERE NOT EXISTS (SELECT 1 FROM {stored_v} s WHERE s.email_id = e.id)"""
+_WITHOUT_TX = """
+    SELECT id, raw_path FROM {emails_null_v} e
+    WHERE NOT EXISTS (SELECT 1 FROM {stored_v} s WHERE s.email_id IS NOT DISTINCT FROM e.id)"""
+
+
+@check(_WITHOUT_VECTOR)
 def mails_without_vector(t):
     return antijoin.without_vector(t.emails_null_v, t.stored_v)
 
 
-@check("""
-    SELECT id, raw_path FROM {emails_null_v} e
-    WHERE NOT EXISTS (SELECT 1 FROM {stored_v} s WHERE s.email_id IS NOT DISTINCT FROM e.id)""")
+@check(_WITHOUT_TX)
 def mails_without_tx(t):
     return antijoin.without_tx(t.emails_null_v, t.stored_v)
 
 
+def _key_set(t, rows: DataFrame, key: str) -> KeySet:
+    """The keys of ``rows``, stored in two runs, one of them twice."""
+    stored = KeySet(t.spark, stage_path(t.spark, "keys"), buckets=8, blocks=8)
+    half = F.pmod(F.xxhash64(key), F.lit(2)) == 0
+    for run, part in (("one", rows.filter(half)), ("two", rows), ("two", rows.filter(~half))):
+        stored.add(part, key, run)
+    return stored
+
+
+@check(_WITHOUT_VECTOR)
+def mails_without_stored_vector(t):
+    """From a set of stored keys."""
+    return antijoin.without_vector(t.emails_null_v, _key_set(t, t.stored_v, "email_id"))
+
+
+@check(_WITHOUT_TX)
+def mails_without_stored_tx(t):
+    return antijoin.without_tx(t.emails_null_v, _key_set(t, t.stored_v, "email_id"))
+
+
 @check("""
     SELECT id, raw_path, content_hash FROM (
       SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY raw_path) AS rn
@@ -382,6 +434,15 @@ def two_key_dedup(t):
     ).select("id", "content_hash", "raw_path")
 
 
+@check(_two_key_rounds(40))
+def two_key_dedup_stored(t):
+    """Against a set of stored keys for each of the two."""
+    stored = t.stored_rivals_v
+    sets = (_key_set(t, stored, "id"), _key_set(t, stored, "content_hash"))
+    found = dedup.first_by_two_keys(t.rivals_v, sets, "id", "content_hash", "raw_path")
+    return found.select("id", "content_hash", "raw_path")
+
+
 @check("""
     SELECT id, amount_cents, merchant, tx_date, currency FROM (
       SELECT *, row_number() OVER (PARTITION BY id ORDER BY amount_cents, merchant,
@@ -421,6 +482,18 @@ def appended_vectors(t):
     return stored.select("email_id", F.size("vector").cast("bigint").alias("size"))
 
 
+@check("""
+    SELECT CAST(vec_id AS STRING) AS email_id, len(embedding) AS size FROM {embeddings}""")
+def vectors_appended_once(t):
+    """Every row is offered twice in a run, the run is tried twice, and a second run offers all again."""
+    path, made = stage_path(t.spark, "vectors"), t.embeddings.select(F.col("vec_id").cast("string").alias("email_id"), F.col("embedding").alias("vector"))
+    keys = {"email_id": KeySet(t.spark, stage_path(t.spark, "keys"), buckets=8, blocks=8)}
+    for run, rows in (("one", made.filter("vec_id % 3 = 0")), ("one", made.filter("vec_id % 3 > 0")), ("two", made)):
+        tables.append_embeddings(rows.unionByName(rows), path, run, keys)
+    stored = tables.read_embeddings(t.spark, path)
+    return stored.select("email_id", F.size("vector").cast("bigint").alias("size"))
+
+
 @check("""
     SELECT currency, CAST(SUM(amount_cents) AS BIGINT) AS total FROM {tx_v}
     WHERE tx_date >= '1997-02-10' AND tx_date <= '1997-04-20' GROUP BY currency""")
@@ -834,8 +907,20 @@ def postings(t):
     return search.postings(t.emails_v)
 
 
-@check(f"""
+_HITS = f"""
     SELECT id, COUNT(*) AS score FROM {_TOKENS} AS w WHERE term IN ('of', 'the', 'invoice')
-    GROUP BY id HAVING COUNT(DISTINCT term) = 3""")
+    GROUP BY id HAVING COUNT(DISTINCT term) = 3"""
+
+
+@check(_HITS)
 def keyword_search(t):
     return search.search(t.emails_v, "Invoice of THE the")
+
+
+@check(_HITS)
+def indexed_search(t):
+    """From a stored index of two runs, one of them tried twice."""
+    path, odd = stage_path(t.spark, "index"), F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    for run, part in (("one", t.emails_v), ("one", t.emails_v.filter(odd)), ("two", t.emails_v.filter(~odd))):
+        search.append_index(part, path, run)
+    return search.search_index(t.spark, path, "Invoice of THE the")

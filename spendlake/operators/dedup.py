@@ -1,11 +1,21 @@
-"""Key enforcement: first row wins."""
+"""Key enforcement: first row wins.
+
+Stored keys come as a frame, or as a ``KeySet`` whose side is never exchanged.
+"""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlake.sources.keys import KeySet
 from spendlake.staging import staged
 
 
+def _not_stored(df: DataFrame, stored: DataFrame | KeySet, key: str) -> DataFrame:
+    if isinstance(stored, KeySet):
+        return stored.missing(df, key)
+    return df.join(stored.select(key), key, "left_anti").select(df.columns)
+
+
 def first_by_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key.
 
@@ -16,22 +26,37 @@ def first_by_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> D
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def first_by_hash(df: DataFrame, stored: DataFrame, order: str = "raw_path") -> DataFrame:
+def first_by_hash(df: DataFrame, stored: DataFrame | KeySet, order: str = "raw_path") -> DataFrame:
     """Drop mails whose body is stored already or came earlier in the batch.
 
     The batch is reduced first, so no hash is hot when it meets the stored ones.
     """
-    once = first_by_key(df, ["content_hash"], [order])
-    return once.join(stored.select("content_hash"), "content_hash", "left_anti").select(df.columns)
+    return _not_stored(first_by_key(df, ["content_hash"], [order]), stored, "content_hash")
 
 
-def enforce_tx_key(new: DataFrame, stored: DataFrame, order: list[Column | str]) -> DataFrame:
+def enforce_tx_key(new: DataFrame, stored: DataFrame | KeySet, order: list[Column | str]) -> DataFrame:
     """Drop transactions whose id is stored or came earlier in the batch."""
-    once = first_by_key(new, ["id"], order)
-    return once.join(stored.select("id"), "id", "left_anti").select(new.columns)
+    return _not_stored(first_by_key(new, ["id"], order), stored, "id")
+
+
+def _rival(key: str, order: str, name: str) -> list[Column]:
+    """128 bits of a key; a row without one has bits of its own."""
+    text = F.coalesce(F.concat(F.lit("key "), F.col(key)), F.concat(F.lit("row "), F.col(order)))
+    return [F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit(1), text).alias(f"{name}2")]
 
 
-def first_by_two_keys(df: DataFrame, stored: DataFrame, one: str, two: str, order: str) -> DataFrame:
+def _numbered(offered: DataFrame, one: str, two: str, order: str) -> DataFrame:
+    """``offered`` with ``pos``, its number in the order that rows are offered in, and hashed keys."""
+    first = F.conv(F.substring(F.sha2(order, 256), 1, 15), 16, 10).cast("long").alias("_first")
+    rows = offered.select(order, "n", *_rival(one, order, "a"), *_rival(two, order, "b"), first)
+    # After a global sort these ids grow with the order; written once, they stay.
+    rows = rows.orderBy("_first", order).withColumn("pos", F.monotonically_increasing_id())
+    return staged(rows.drop("_first"), "places")
+
+
+def first_by_two_keys(
+    df: DataFrame, stored: DataFrame | tuple[KeySet, KeySet], one: str, two: str, order: str
+) -> DataFrame:
     """Rows accepted when each is offered in turn and both keys are unique.
 
     A row is rejected by a stored row, or by an earlier row that was itself
@@ -39,37 +64,39 @@ def first_by_two_keys(df: DataFrame, stored: DataFrame, one: str, two: str, orde
     never equal to another. Rows are offered in order of a hash of ``order``, then of
     ``order`` itself: any order will do, and this one breaks chains of rivals,
     so that a few rounds settle them however long they are. Of rows that
-    repeat an ``order``, the first by its keys is offered.
+    repeat an ``order``, the first by its keys is offered. ``stored`` is a frame with both keys, or a set of each.
 
     Every round accepts all rows that come first under both of their keys and
-    removes their rivals. Only three narrow columns take part, and every round is a
-    written table. ``df`` is read twice, so it should be a written table.
+    removes their rivals. Only numbers take part (places, and 128 bits of each key), and every round is a
+    written table. ``df`` is read twice, so it should be a written table; a third time only if an ``order`` repeats.
     """
-
-    def key(name: str, column: str) -> Column:
-        own = F.concat(F.lit("row "), F.col(order))
-        return F.coalesce(F.concat(F.lit("key "), F.col(column)), own).alias(name)
-
-    offered = df.select(F.concat(F.sha2(order, 256), order).alias("pos"), key("a", one), key("b", two))
-    places = staged(offered.groupBy("pos").agg(F.min(F.struct("a", "b")).alias("k"), F.count("*").alias("n")), "places")
-    left = places.select("pos", "k.a", "k.b")
-    for name, column in (("a", one), ("b", two)):
-        left = left.join(stored.select(F.concat(F.lit("key "), F.col(column)).alias(name)), name, "left_anti")
-    left, accepted = staged(left, "rivals"), None
+    sides = stored if isinstance(stored, tuple) else (stored, stored)
+    offered = df.groupBy(order).agg(F.min(F.struct(one, two)).alias("_keys"), F.count("*").alias("n"))
+    offered = offered.select(order, "n", f"_keys.{one}", f"_keys.{two}")
+    for side, key in zip(sides, (one, two)):
+        if isinstance(side, KeySet):
+            offered = side.missing(staged(offered, "offered"), key)
+        else:
+            # Rows without a key are spread by a key of their own.
+            stored_keys = side.select(F.concat(F.lit("key "), F.col(key)).alias("_key"))
+            own = F.coalesce(F.concat(F.lit("key "), F.col(key)), F.concat(F.lit("row "), F.col(order)))
+            offered = offered.withColumn("_key", own).join(stored_keys, "_key", "left_anti").drop("_key")
+    places = _numbered(offered, one, two, order)
+    left, accepted = places.select("pos", "a1", "a2", "b1", "b2"), None
     while not left.isEmpty():
-        first_a = left.groupBy("a").agg(F.min("pos").alias("pos"))
-        first_b = left.groupBy("b").agg(F.min("pos").alias("pos"))
+        first_a = left.groupBy("a1", "a2").agg(F.min("pos").alias("pos"))
+        first_b = left.groupBy("b1", "b2").agg(F.min("pos").alias("pos"))
         won = staged(first_a.join(first_b, "pos"), "accepted")
         accepted = won if accepted is None else accepted.unionByName(won)
-        rest = left.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti")
+        rest = left.join(won.select("a1", "a2"), ["a1", "a2"], "left_anti")
+        rest = rest.join(won.select("b1", "b2"), ["b1", "b2"], "left_anti")
         left = staged(rest, "rivals")
-    # The losers are few beside the rows themselves, which may hold long texts.
-    losers = places.select("pos")
-    if accepted is not None:
-        losers = losers.join(accepted.select("pos"), "pos", "left_anti")
-    at = F.concat(F.sha2(F.col(order), 256), F.col(order))
-    kept = df.join(losers, at == F.col("pos"), "left_anti")
-    again = places.filter("n > 1").select("pos")
-    once = kept.join(again, at == F.col("pos"), "left_anti")
-    repeated = first_by_key(kept.join(again, at == F.col("pos"), "left_semi"), [order], [one, two])
+    if accepted is None:
+        return df.limit(0)
+    kept = places.join(accepted.select("pos"), "pos", "left_semi").select(order, "n")
+    once = df.join(kept.filter("n = 1").select(order), order, "left_semi").select(df.columns)
+    again = kept.filter("n > 1").select(order)
+    if again.isEmpty():
+        return once
+    repeated = first_by_key(df.join(again, order, "left_semi").select(df.columns), [order], [one, two])
     return once.unionByName(repeated)

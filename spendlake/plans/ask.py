@@ -15,9 +15,10 @@ from spendlake.functions import render
 from spendlake.functions.dates import period_bounds
 from spendlake.functions.replies import intent_object, intent_text
 from spendlake.operators.hooks import Hook, ask_hook
-from spendlake.operators.match import question_keys, totals_of, transactions_of
+from spendlake.operators.match import answers_of, open_totals_of, question_keys, totals_from
 from spendlake.operators.totals import total_by_currency
 from spendlake.plans.query import filter_transactions
+from spendlake.sources.ledger import Ledger
 from spendlake.staging import staged
 
 _PARAMETERS = ("merchant", "start_date", "end_date", "metric")
@@ -42,8 +43,14 @@ def from_periods(questions: DataFrame, today: datetime.date) -> DataFrame:
     return dated.select("qid", *_PARAMETERS, understood)
 
 
-def asked(questions: DataFrame, hook: Hook) -> DataFrame:
-    """``qid``, ``question`` to ``qid``, ``reply`` by a model call."""
+def asked(questions: DataFrame, hook: Hook, today: datetime.date | None = None) -> DataFrame:
+    """``qid``, ``question`` to ``qid``, ``reply`` by a model call.
+
+    With ``today`` the model is told the date before the question, so that it can place "last month".
+    """
+    if today is not None:
+        told = F.concat(F.lit(f"Today is {today.isoformat()}.\n"), F.col("question"))
+        questions = questions.withColumn("question", told)
     return ask_hook(questions, "question", "reply", "string", hook).select("qid", "reply")
 
 
@@ -76,35 +83,48 @@ def no_match_lines(questions: DataFrame, answered: DataFrame) -> DataFrame:
     return silent.select(*_line(0, F.lit(render.NO_MATCH)))
 
 
-def answer_many(questions: DataFrame, tx: DataFrame) -> DataFrame:
+def answer_many(questions: DataFrame, tx: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """Answer lines of questions given as parameters (and ``understood``).
 
-    The questions, and what there is at most once per question and currency,
-    are written tables, as more than one kind of line reads them.
+    The questions, and what is found for them, are written tables, as more than one kind of line reads
+    them. The transactions are read three times: for their merchants and months, for the totals per day, and for
+    what the questions ask for. A ``ledger`` has the first two beside its transactions.
     """
     questions = staged(questions, "questions")
     clear = questions.filter("understood")
     is_sum = F.coalesce(F.col("metric") == "sum", F.lit(False))
     sums, lists = clear.filter(is_sum), clear.filter(~is_sum)
-    day = [c for c in ("tx_day",) if c in tx.columns]
-    shown = tx.select("merchant", "amount_cents", "currency", "tx_date", *day)
-    keys = question_keys(clear, shown)
-    totals = staged(totals_of(keys.only(is_sum), shown), "totals")
-    found = transactions_of(keys.only(~is_sum), shown)
-    counts = staged(list_counts(found), "counts")
+    kept = [c for c in ("tx_day", "tx_month") if c in tx.columns]
+    shown = tx.select("merchant", "amount_cents", "currency", "tx_date", *kept)
+    keys = question_keys(clear, shown) if ledger is None else ledger.keys(clear)
+    found = staged(answers_of(keys, shown, is_sum), "found")
+    none = keys.only(is_sum)
+    if ledger is None:
+        of_all = open_totals_of(none, shown)
+    else:
+        of_all = totals_from(none._replace(by_merchant=none.by_merchant.limit(0)), shown, ledger.summaries())
+    named = found.filter("NOT listed").select("qid", "currency", F.col("amount_cents").alias("total"))
+    totals = staged(named.unionByName(of_all), "totals")
+    counts = staged(found.filter("listed").groupBy("qid").agg(F.sum("n").alias("n")), "counts")
+    rows = found.filter("listed").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("_copy")
     unclear = questions.filter("NOT understood").select(*_line(0, F.lit(render.NOT_UNDERSTOOD)))
     return (
         sum_lines(totals)
-        .unionByName(list_lines(found, counts))
+        .unionByName(list_lines(rows, counts))
         .unionByName(no_match_lines(sums, totals))
         .unionByName(no_match_lines(lists, counts))
         .unionByName(unclear)
     )
 
 
-def ask_many(questions: DataFrame, tx: DataFrame) -> DataFrame:
+def ask_many(questions: DataFrame, tx: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """Answer lines of questions given as model replies (``qid``, ``reply``)."""
-    return answer_many(intents(questions), tx)
+    return answer_many(intents(questions), tx, ledger)
+
+
+def ask_ledger(questions: DataFrame, ledger: Ledger) -> DataFrame:
+    """As ``ask_many``, from a stored ledger: its transactions are read once, for the months asked about."""
+    return ask_many(questions, ledger.read(), ledger)
 
 
 def ask(tx: DataFrame, reply: str) -> DataFrame:

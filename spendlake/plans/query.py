@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendlake.functions.text import merchant_contains
 from spendlake.operators.topk import newest_first
 from spendlake.operators.totals import total_by_currency
+from spendlake.schemas import NO_MONTH, ODD_MONTH
 
 
 def filter_transactions(
@@ -20,7 +21,7 @@ def filter_transactions(
 
     Dates compare as text, bounds included. Where the table has a day and a
     month, bounds that are plain days also prune by those; rows whose date
-    text is no plain day stay and are compared as text.
+    text is no plain day stay and are compared as text, rows without a date go.
     """
     if merchant:
         tx = tx.filter(merchant_contains(F.col("merchant"), merchant))
@@ -39,7 +40,8 @@ def _prune(tx: DataFrame, bound: str, compare) -> DataFrame:
         tx = tx.filter(compare(day, F.lit(bound).cast("date")) | day.isNull())
     if "tx_month" in tx.columns:
         month = F.col("tx_month")
-        tx = tx.filter(compare(month, F.lit(bound[:7])) | (month == "none"))
+        dated = (month != NO_MONTH) & compare(month, F.lit(bound[:7]))
+        tx = tx.filter(dated | (month == ODD_MONTH))
     return tx
 
 

@@ -2,6 +2,9 @@
 
 from pyspark.sql import types as T
 
+#: Months of transactions whose date text is no plain day, and of those without a date.
+ODD_MONTH, NO_MONTH = "none", "undated"
+
 EMAILS = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -5,6 +5,7 @@ import pytest
 
 from spendlake.operators import dedup
 from spendlake.operators.antijoin import without_tx, without_vector
+from spendlake.sources.keys import KeySet
 
 SCHEMA = "id string, content_hash string, raw_path string"
 
@@ -58,6 +59,25 @@ def test_two_keys_repeated_path_and_no_keys(spark):
     assert two_keys(spark, rows) == ["a", "b", "c", "d"]
 
 
+def test_two_keys_of_a_repeated_path_that_is_stored_in_part(spark):
+    """The first of the rows of a path is offered, and it alone."""
+    rows = [("1", "h1", "a"), ("2", "h2", "a"), ("3", "h3", "b"), ("4", "h4", "b")]
+    assert two_keys(spark, rows, [("1", "x")]) == ["b"]
+    assert two_keys(spark, rows, [("2", "x")]) == ["a", "b"]
+
+
+def test_two_keys_against_key_sets(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(None if n % 9 == 0 else f"i{rng.randrange(60)}", f"h{rng.randrange(60)}", f"{n:03}") for n in range(150)]
+    stored = [("i3", "x"), (None, "h5"), ("i7", "h8")]
+    old = spark.createDataFrame(stored, "id string, content_hash string")
+    ids, hashes = KeySet(spark, f"{tmp_path}/ids", 4, 2), KeySet(spark, f"{tmp_path}/hashes", 4, 2)
+    ids.add(old, "id", "one")
+    hashes.add(old, "content_hash", "one")
+    kept = dedup.first_by_two_keys(spark.createDataFrame(rows, SCHEMA), (ids, hashes), "id", "content_hash", "raw_path")
+    assert sorted(r.raw_path for r in kept.collect()) == greedy(rows, stored)
+
+
 def test_first_by_hash(spark):
     rows = [("1", "e", "b"), ("2", "e", "a"), ("3", "x", "c"), ("4", "old", "d")]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -51,7 +51,7 @@ def accepted_ids(folder):
     keys = {"a": ("1", "one"), "b": ("2", "one"), "c": ("1", "another"), "d": ("4", "receipt")}
 
     def offered(name):
-        path = f"file://{folder}/{name}.json"
+        path = f"file:{folder}/{name}.json"
         return hashlib.sha256(path.encode()).hexdigest() + path
 
     ids, bodies = [], []
