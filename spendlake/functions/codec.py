@@ -59,3 +59,14 @@ def header_value(headers: Column, name: str) -> Column:
     wanted = name.lower()
     found = F.filter(headers, lambda h: F.lower(h["name"]) == wanted)
     return F.try_element_at(found, F.lit(1))["value"]
+
+
+def header_is_readable(headers: Column, name: str) -> Column:
+    """Whether no header without a name comes before the first one called ``name``; after it, none matters."""
+    wanted = name.lower()
+    marks = F.transform(
+        headers,
+        lambda h: F.when(h["name"].isNull(), "nameless").when(F.lower(h["name"]) == wanted, "found").otherwise(""),
+    )
+    found, nameless = F.array_position(marks, "found"), F.array_position(marks, "nameless")
+    return (nameless == 0) | ((found > 0) & (found < nameless))

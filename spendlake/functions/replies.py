@@ -4,10 +4,12 @@ An absent key and a key with a null value are told apart throughout, so
 replies are kept as VARIANT: an absent key is SQL NULL, a null value is not.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _END = "~end of reply~"
+# Strict JSON, of any length.
+_STRICT = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 # Number text as it is accepted for amounts, with single
 # underscores between digits.
 _NUMBER = (
@@ -23,13 +25,21 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def keep_last_keys(spark: SparkSession) -> None:
+    """Where a key is repeated in JSON, its last value counts: a setting of the session.
+
+    Without it such JSON counts as unreadable. The jobs of ``plans`` and ``parse_messages`` call it.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def strict_json(text: Column) -> Column:
-    """VARIANT of a text that is exactly one JSON value, else NULL.
+    """VARIANT of a text that is exactly one JSON value, else NULL. Texts may be as long as Spark's own.
 
     Spark's parser stops after the first value. Wrapping the text in an array
     with a closing marker makes anything after that value visible.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')), "variant", _STRICT)
 
     def first_of_two(array):
         ended = F.try_variant_get(array, "$[1]", "string") == _END

@@ -54,22 +54,10 @@ def _numbered(offered: DataFrame, one: str, two: str, order: str) -> DataFrame:
     return staged(rows.drop("_first"), "places")
 
 
-def first_by_two_keys(
+def accepted_by_two_keys(
     df: DataFrame, stored: DataFrame | tuple[KeySet, KeySet], one: str, two: str, order: str
 ) -> DataFrame:
-    """Rows accepted when each is offered in turn and both keys are unique.
-
-    A row is rejected by a stored row, or by an earlier row that was itself
-    accepted, with the same ``one`` or the same ``two``. A NULL key is
-    never equal to another. Rows are offered in order of a hash of ``order``, then of
-    ``order`` itself: any order will do, and this one breaks chains of rivals,
-    so that a few rounds settle them however long they are. Of rows that
-    repeat an ``order``, the first by its keys is offered. ``stored`` is a frame with both keys, or a set of each.
-
-    Every round accepts all rows that come first under both of their keys and
-    removes their rivals. Only numbers take part (places, and 128 bits of each key), and every round is a
-    written table. ``df`` is read twice, so it should be a written table; a third time only if an ``order`` repeats.
-    """
+    """``order`` of the rows that ``first_by_two_keys`` accepts, and ``n``, how many rows of ``df`` have it. A narrow written table."""
     sides = stored if isinstance(stored, tuple) else (stored, stored)
     offered = df.groupBy(order).agg(F.min(F.struct(one, two)).alias("_keys"), F.count("*").alias("n"))
     offered = offered.select(order, "n", f"_keys.{one}", f"_keys.{two}")
@@ -82,18 +70,39 @@ def first_by_two_keys(
             own = F.coalesce(F.concat(F.lit("key "), F.col(key)), F.concat(F.lit("row "), F.col(order)))
             offered = offered.withColumn("_key", own).join(stored_keys, "_key", "left_anti").drop("_key")
     places = _numbered(offered, one, two, order)
-    left, accepted = places.select("pos", "a1", "a2", "b1", "b2"), None
+    left, accepted = places.select("pos", "a1", "a2", "b1", "b2"), df.sparkSession.createDataFrame([], "pos long")
     while not left.isEmpty():
         first_a = left.groupBy("a1", "a2").agg(F.min("pos").alias("pos"))
         first_b = left.groupBy("b1", "b2").agg(F.min("pos").alias("pos"))
         won = staged(first_a.join(first_b, "pos"), "accepted")
-        accepted = won if accepted is None else accepted.unionByName(won)
+        accepted = accepted.unionByName(won.select("pos"))
         rest = left.join(won.select("a1", "a2"), ["a1", "a2"], "left_anti")
         rest = rest.join(won.select("b1", "b2"), ["b1", "b2"], "left_anti")
         left = staged(rest, "rivals")
-    if accepted is None:
-        return df.limit(0)
-    kept = places.join(accepted.select("pos"), "pos", "left_semi").select(order, "n")
+    return staged(places.join(accepted.select("pos"), "pos", "left_semi").select(order, "n"), "kept")
+
+
+def first_by_two_keys(
+    df: DataFrame, stored: DataFrame | tuple[KeySet, KeySet], one: str, two: str, order: str
+) -> DataFrame:
+    """Rows accepted when each is offered in turn and both keys are unique.
+
+    A row is rejected by a stored row, or by an earlier row that was itself
+    accepted, with the same ``one`` or the same ``two``. A NULL key is
+    never equal to another. Rows are offered in order of a hash of ``order``, then of
+    ``order`` itself: any order will do, and this one breaks chains of rivals,
+    so that a few rounds settle them however long they are. Of rows that
+    repeat an ``order``, the first by its keys is offered. ``stored`` is a frame with both keys, or a set of each.
+
+    Every round accepts all rows that come first under both of their keys and
+    removes their rivals. Only numbers take part (places, and 128 bits of each key), and every round is a
+    written table. ``df`` is read twice, so it should be a written table; a third time only if an ``order`` repeats.
+    """
+    return rows_of(df, accepted_by_two_keys(df, stored, one, two, order), one, two, order)
+
+
+def rows_of(df: DataFrame, kept: DataFrame, one: str, two: str, order: str) -> DataFrame:
+    """The rows of ``df`` that were accepted; of rows that repeat an ``order``, the first by its keys."""
     once = df.join(kept.filter("n = 1").select(order), order, "left_semi").select(df.columns)
     again = kept.filter("n > 1").select(order)
     if again.isEmpty():

@@ -65,11 +65,11 @@ def hashed_vectors(df: DataFrame, text: str, vector: str, size: int = 256) -> Da
 def rule_replies(df: DataFrame, prompt: str, reply: str) -> DataFrame:
     """Replies without a model: the first amount that follows a currency code.
 
-    No such amount gives ``{}``. The merchant is the subject line.
+    Commas may group its digits. No such amount gives ``{}``. The merchant is the subject line.
     """
-    money = r"\b([A-Z]{3}) ?(\d+(?:\.\d{1,2})?)"
+    money = r"\b([A-Z]{3}) ?(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)"
     text = F.col(prompt)
-    amount = F.regexp_extract(text, money, 2)
+    amount = F.replace(F.regexp_extract(text, money, 2), F.lit(","), F.lit(""))
     found = F.to_json(
         F.struct(
             F.regexp_extract(text, r"Subject: ([^\n]*)", 1).alias("merchant"),

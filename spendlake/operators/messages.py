@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from spendlake.functions import codec
 from spendlake.functions.dates import mail_day
 from spendlake.functions.html import page_text
-from spendlake.functions.replies import field, field_text, kind, strict_object
+from spendlake.functions.replies import field, field_text, keep_last_keys, kind, strict_object
 from spendlake.functions.text import NO_SUBJECT, UNKNOWN_SENDER, or_default
 
 _FIELDS = T.StructType(
@@ -150,6 +150,7 @@ def parse_messages(messages: DataFrame, today: datetime.date) -> DataFrame:
 
     ``error`` is NULL for a readable message and names the problem otherwise.
     """
+    keep_last_keys(messages.sparkSession)
     doc = messages.select("raw_path", strict_object(F.col("text")).alias("doc"))
     raw, payload = field(F.col("doc"), "raw"), field(F.col("doc"), "payload")
     # With no payload at all the tree is empty, which is a readable message.
@@ -176,8 +177,8 @@ def parse_messages(messages: DataFrame, today: datetime.date) -> DataFrame:
         _mime_fields("mime").alias("m"),
         _tree_fields("tree").alias("t"),
     )
-    named = F.forall("headers", lambda h: h.isNotNull() & h["name"].isNotNull())
-    well_formed = named | ~F.col("has_headers")
+    readable = [codec.header_is_readable(F.col("headers"), n) for n in ("Subject", "From", "Date")]
+    well_formed = (readable[0] & readable[1] & readable[2]) | ~F.col("has_headers")
     header = {n: codec.header_value(F.col("headers"), n) for n in ("Subject", "From", "Date")}
     mime = F.col("is_mime")
     fields = read.select(

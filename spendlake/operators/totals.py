@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.functions.text import long_enough, receipt_candidate
-
 
 def total_by_currency(tx: DataFrame) -> DataFrame:
     """Cents per currency; a missing currency is a group of its own."""
@@ -26,23 +24,15 @@ def import_summary(parsed: DataFrame, imported: DataFrame) -> DataFrame:
     )
 
 
-def ledger_summary(
-    emails: DataFrame, pending: DataFrame, added: DataFrame, scope: str = "subject_first"
-) -> DataFrame:
+def ledger_summary(emails: DataFrame, waiting: DataFrame, added: DataFrame) -> DataFrame:
     """Mails in all, candidates by keyword, processed (long enough) and added.
 
-    ``pending`` are the mails without a transaction. A candidate with a short
-    body is not processed.
+    ``waiting`` are the candidates without a transaction, with ``long``. A candidate with a short
+    body is not processed. Mails are counted without reading a column.
     """
-    candidate = receipt_candidate(F.col("subject"), F.col("body_text"), scope)
-    waiting = pending.select(
-        F.when(candidate & long_enough(F.col("body_text")), "long candidate")
-        .when(candidate, "short candidate")
-        .otherwise("other")
-    )
     stage = F.col("stage")
     return (
-        waiting.toDF("stage")
+        waiting.select(F.when(F.col("long"), "long candidate").otherwise("short candidate").alias("stage"))
         .union(emails.select(F.lit("mail")))
         .union(added.select(F.lit("added")))
         .agg(

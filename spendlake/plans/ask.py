@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spendlake.functions import render
 from spendlake.functions.dates import period_bounds
-from spendlake.functions.replies import intent_object, intent_text
+from spendlake.functions.replies import intent_object, intent_text, keep_last_keys
 from spendlake.operators.hooks import Hook, ask_hook
 from spendlake.operators.match import answers_of, open_totals_of, question_keys, totals_from
 from spendlake.operators.totals import total_by_currency
@@ -26,6 +26,7 @@ _PARAMETERS = ("merchant", "start_date", "end_date", "metric")
 
 def intents(questions: DataFrame) -> DataFrame:
     """``qid``, ``reply`` to search parameters and ``understood``."""
+    keep_last_keys(questions.sparkSession)
     objects = questions.select("qid", intent_object(F.col("reply")).alias("obj"))
     obj = F.col("obj")
     return objects.select(

@@ -14,6 +14,7 @@ TODAY = datetime.date(2024, 3, 31)
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")

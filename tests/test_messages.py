@@ -138,3 +138,35 @@ def test_tree_headers(spark):
 def test_parsed_once(spark, plan):
     df = spark.createDataFrame([("p", "{}")], "raw_path string, text string")
     assert plan(parse_messages(df, TODAY)).count("_mime_fields(") == 1
+
+
+@pytest.fixture
+def headers_of(spark):
+    def found(headers):
+        row = parsed(spark, [{"id": "1", "payload": {"headers": headers}}])[0]
+        return row.error or (row.subject, row.from_addr, row.date and str(row.date))
+
+    return found
+
+
+def test_a_header_without_a_name_matters_before_the_first_match_only(headers_of):
+    needed = [{"name": n, "value": v} for n, v in (("Subject", "S"), ("From", "a@b"), ("Date", "3 Sep 2024 10:00:00"))]
+    read = ("S", "a@b", "2024-09-03")
+    assert headers_of([*needed, {"value": "nameless"}, None, {"name": None}]) == read
+    for i in range(3):
+        assert headers_of([*needed[:i], {"value": "nameless"}, *needed[i:]]) == "malformed headers"
+    assert headers_of([*needed[:2], {"value": "nameless"}]) == "malformed headers"  # no date before it
+    assert headers_of([*needed, {"name": "subject", "value": "later"}, {"value": "nameless"}]) == read
+
+
+def test_very_long_mail_is_kept(spark):
+    long = "word " * 5_000_000  # 25 MB, a third more in base64
+    row = parsed(spark, [mime(PLAIN + long)])[0]
+    assert row.error is None and row.body_text == long
+
+
+def test_a_repeated_key_counts_with_its_last_value(spark):
+    text = '{"id":"1","id":"2","raw":"AAAAA","raw":"%s"}' % coded(PLAIN + "x")
+    assert parsed(spark, [text])[0].id == "2"
+    tree = '{"id":"3","payload":{"body":{"data":"AAAAA"},"body":{"data":"AAAAA","data":"%s"}}}' % coded("last")
+    assert parsed(spark, [tree])[0].body_text == "last"

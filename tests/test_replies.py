@@ -26,6 +26,9 @@ REPLIES = [
     ("} {", None),
     ('{"merchant":"Zero","amount":0,"date":"03/01/2024"}', ("Zero", 0, "USD", "03/01/2024", "Other")),
     ('{"amount":-2.5,"merchant":""}', ("", -250, "USD", None, "Other")),
+    ('{"amount":1,"merchant":"a","amount":2,"merchant":"b"}', ("b", 200, "USD", None, "Other")),
+    ('so {"amount":1,"amount":{"x":1}}', None),
+    ('{"amount":1,"merchant":"%s"}' % ("m" * 21_000_000), ("m" * 21_000_000, 100, "USD", None, "Other")),
 ]
 
 
