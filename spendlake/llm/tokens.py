@@ -2,14 +2,30 @@
 
 import functools
 import os
+import re
 import unicodedata
 
+import numpy as np
 from tokenizers import Tokenizer
 
+from spendlake.llm.common import word_hashes
+
 #: Words, and bare lower-case words, whose ids a worker remembers.
 CACHED_WORDS, CACHED_CORES = 500_000, 400_000
 #: Marks that may follow a word; none of them starts a contraction.
 _MARKS = b".,;:!?"
+#: Text whose words are looked up together.
+WINDOW_BYTES = 2 << 20
+#: Words that the tokenizer reads as one text.
+ENCODED_WORDS = 4096
+_SPACE, _WORD = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+")
+
+
+def _gathered(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``values``, one after the other."""
+    at = np.repeat(offsets - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class WordEncoder:
@@ -26,8 +42,20 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         self.tokenizer = Tokenizer.from_file(path)
         self.folds = folds
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self._forget()
+        self._forget_cores()
+
+    def _forget(self) -> None:
+        """Known words by hash: where their ids lie in ``flat``."""
+        self.known = np.zeros(0, np.uint64)
+        self.offsets, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _forget_cores(self) -> None:
+        """Known parts of words: where their ids lie in ``core_ids``."""
+        self.cores: dict[bytes, int] = {}
+        self.core_offsets, self.core_lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.core_ids = np.zeros(0, np.uint32)
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         """A word in lower case, and the marks behind it; other words whole."""
@@ -41,22 +69,87 @@ class WordEncoder:
         whole = unicodedata.normalize("NFC", text).lower().isalpha()
         return (core, word[len(core) :]) if whole else (word, b"")
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words``, one after the other, and how many each has.
+
+        They are read as one text: no id reaches across white space.
+        """
+        starts = np.cumsum([0, *(len(word) + 1 for word in words)])
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        return np.array(found.ids, np.uint32), np.diff(np.searchsorted(at, starts))
+
+    def _learn_cores(self, cores: list[bytes]) -> None:
+        for low in range(0, len(cores), ENCODED_WORDS):
+            part = cores[low : low + ENCODED_WORDS]
+            texts = [core.decode("utf-8", "replace") for core in part]
+            # A space that is not ASCII inside a word, or none but it, is left to the tokenizer alone.
+            odd = [i for i, text in enumerate(texts) if not text.isalnum() and len(text.split()) != 1]
+            ids, lengths = self._encode_words(["" if i in set(odd) else text for i, text in enumerate(texts)] if odd else texts)
+            if odd:
+                each = np.split(ids, np.cumsum(lengths)[:-1])
+                for i in odd:
+                    each[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                ids, lengths = np.concatenate(each), np.array([len(x) for x in each])
+            self.cores.update(zip(part, range(len(self.core_lengths), len(self.core_lengths) + len(part))))
+            self.core_offsets = np.concatenate([self.core_offsets, len(self.core_ids) + np.cumsum(lengths) - lengths])
+            self.core_lengths = np.concatenate([self.core_lengths, lengths])
+            self.core_ids = np.concatenate([self.core_ids, ids])
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add the ids of ``words`` to the table."""
+        parts = [self._parts(word) for word in words]
+        self._learn_cores(list({part for pair in parts for part in pair} - self.cores.keys()))
+        slots = np.array([self.cores[part] for pair in parts for part in pair], np.int64)
+        both = self.core_lengths[slots]
+        lengths = both.reshape(-1, 2).sum(axis=1)
+        offsets = len(self.flat) + np.cumsum(lengths) - lengths
+        self.flat = np.concatenate([self.flat, _gathered(self.core_ids, self.core_offsets[slots], both)])
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.offsets, self.lengths = np.insert(self.offsets, at, offsets), np.insert(self.lengths, at, lengths)
+
+    def _ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words of ``data``, where each word starts, and how many ids it has."""
+        hashes, starts = word_hashes(data)
+        if not len(hashes):
+            return np.zeros(0, np.uint32), starts, starts
+        different, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, different), max(len(self.known) - 1, 0))
+        new = self.known[at] != different if len(self.known) else np.ones(len(different), bool)
+        if new.any():
+            self._learn(different[new], [_WORD.match(data, int(i)).group() for i in starts[first[new]]])
+            at = np.searchsorted(self.known, different)
+        lengths = self.lengths[at][back]
+        return _gathered(self.flat, self.offsets[at][back], lengths), starts, lengths
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [text.split() for text in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
+        """Little-endian unsigned 32-bit ids of each UTF-8 text.
+
+        Words are told apart by 64-bit hashes: the ids of each different word of a window are
+        looked up once, and gathered for all its places.
+        """
+        if len(self.known) > CACHED_WORDS:
+            self._forget()
         if len(self.cores) > CACHED_CORES:
-            self.cores = {}
-        parts = {word: self._parts(word) for word in set().union(*split) - self.words.keys()}
-        missing = list({part for pair in parts.values() for part in pair} - self.cores.keys())
-        found = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in missing], add_special_tokens=False)
-        for part, encoding in zip(missing, found):
-            self.cores[part] = b"".join([i.to_bytes(4, "little") for i in encoding.ids])
-        for word, (core, marks) in parts.items():
-            self.words[word] = self.cores[core] + self.cores[marks]
-        known = self.words
-        return [b"".join([known[word] for word in words]) for words in split]
+            self._forget_cores()
+        data = b" ".join(texts)
+        text_starts = np.cumsum([0, *(len(text) + 1 for text in texts)])
+        ids, places, counts, start = [], [], [], 0
+        while start < len(data):
+            # A window ends behind a word.
+            end = start + WINDOW_BYTES
+            end = len(data) if end >= len(data) or (cut := _SPACE.search(data, end)) is None else cut.end()
+            found, starts, lengths = self._ids(data[start:end])
+            ids.append(found)
+            places.append(starts + start)
+            counts.append(lengths)
+            start = end
+        if not ids:
+            return [b""] * len(texts)
+        flat, at = np.concatenate(ids).astype("<u4"), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        bounds = at[np.searchsorted(np.concatenate(places), text_starts)].tolist()
+        return [flat[low:high].tobytes() for low, high in zip(bounds, bounds[1:])]
 
 
 @functools.lru_cache(maxsize=1)
