@@ -1,7 +1,7 @@
 """Training-order materialisation of token sequences.
 
-Every block of documents becomes one stream of token ids (an end id after each
-document), cut into sequences of a fixed length; the last of a block is padded.
+The documents that a task reads become one stream of token ids (an end id after each
+document), cut into sequences of a fixed length; the last of a task is padded.
 Sequences are numbered densely, and a keyed Feistel permutation with cycle-walking gives each a
 slot of its own among as many slots. Ranges of slots are shards: files in which each sequence
 takes the same number of bytes (16-bit ids), so slot s lies at
@@ -16,21 +16,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import block_count, mixed, runs, slices, staged, text_bytes
+from spendlake.llm.common import arrow_rows, mixed, runs, slices, staged, text_bytes
 from spendlake.llm.tokens import encoder
 
 SEQUENCE = 1024
 END_ID = 1
 PAD_ID = 0
-BLOCK_BYTES = 8 << 20
+#: Sequences that are sent on at a time.
+ROWS = 1024
 #: Sequences in a shard (16 MB).
 SHARD_SEQUENCES = 8192
 #: Blocks that are numbered together.
@@ -58,26 +61,33 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return slots.astype(np.int64)
 
 
+def _narrow(data: bytes) -> np.ndarray:
+    """Ids of 32 bits in 16; a vocabulary that needs more is an error."""
+    ids = np.frombuffer(data, "<u4")
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit in 16 bits")
+    return ids.astype("<u2")
+
+
 def sequences(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE) -> DataFrame:
     """``block, number, ids, n_ids, doc_id, start``: numbered within each block.
 
-    ``ids`` are 16-bit, padded; ``doc_id`` and ``start`` say where the sequence begins.
+    ``ids`` are 16-bit, padded; ``doc_id`` and ``start`` say where the sequence begins. A block is
+    what one task reads, in its order: texts are not moved. So the numbers depend on how Spark splits the
+    input; the result is to be written, and read from there.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("data"))
-    size = rows.agg(F.sum(F.length("data"))).first()[0]
-    blocks = block_count(size, BLOCK_BYTES)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    rows = rows.withColumn("text_key", F.xxhash64("data"))
+    schema = "block long, number long, ids binary, n_ids long, doc_id long, start long"
 
-    def stream(table: pa.Table) -> Iterator[tuple]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode, end = encoder(tokenizer_path).encode, np.array([END_ID], "<u2")
-        block = table.column("block")[0].as_py()
-        ids, texts = table.column("doc_id").to_pylist(), table.column("data").to_pylist()
+        block = TaskContext.get().partitionId()
         held, size, origin, number = [], 0, None, 0
-        for a, b in slices(texts):
-            for doc_id, data in zip(ids[a:b], encode(texts[a:b])):
-                piece = np.concatenate([np.frombuffer(data, "<u4").astype("<u2"), end])
-                at = 0
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("data").to_pylist()
+            encoded = (pair for a, b in slices(texts) for pair in zip(ids[a:b], encode(texts[a:b])))
+            for doc_id, data in encoded:
+                piece, at = np.concatenate([_narrow(data), end]), 0
                 while at < len(piece):
                     origin = origin or (doc_id, at)
                     part = piece[at : at + length - size]
@@ -92,8 +102,12 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE) -> D
             full[:size] = np.concatenate(held)
             yield block, number, full.tobytes(), size, *origin
 
-    schema = "block long, number long, ids binary, n_ids long, doc_id long, start long"
-    return runs(rows, ["block"], stream, schema, ["doc_id", "text_key"])
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = cut(batches)
+        while part := list(islice(found, ROWS)):
+            yield arrow_rows(part, schema)
+
+    return rows.mapInArrow(stream, schema)
 
 
 def numbered(found: DataFrame) -> tuple[DataFrame, int]:
@@ -117,6 +131,12 @@ def _file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark gives it: one without is on the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
@@ -129,6 +149,7 @@ def materialise(
 
     ``slot, shard, byte_offset, index, n_ids, ids_crc32, doc_id, start``.
     """
+    folder = qualified(docs.sparkSession, folder)
     found = staged(sequences(docs, tokenizer_path, length), "sequences")
     found, total = numbered(found)
 

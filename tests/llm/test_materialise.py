@@ -164,3 +164,14 @@ def test_pipeline(spark):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert rows and max(ends.values()) <= 2048
+
+
+def test_ids_that_do_not_fit(spark):
+    assert shards._narrow(np.array([0, 65535], "<u4").tobytes()).tolist() == [0, 65535]
+    with pytest.raises(ValueError, match="65536"):
+        shards._narrow(np.array([65536], "<u4").tobytes())
+
+
+def test_folder_without_a_scheme_is_on_the_default_file_system(spark, tmp_path):
+    assert shards.qualified(spark, f"{tmp_path}/x") == f"file:{tmp_path}/x"
+    assert shards.qualified(spark, f"file://{tmp_path}/x").startswith("file:")
