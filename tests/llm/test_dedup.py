@@ -184,3 +184,18 @@ def test_components(spark):
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()
     expected = {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
     assert {r.node: r.component for r in got} == expected and len(got) == len(expected)
+
+
+def test_components_of_large_ids(spark):
+    top = 2**63 - 1
+    links = [(top - i, top - i - 1) for i in range(6)] + [(-(2**63), 5)]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {**{top - i: top - 6 for i in range(7)}, -(2**63): -(2**63), 5: -(2**63)}
+
+
+def test_one_id_with_different_texts(spark):
+    """Both texts stay; equal rows of them once."""
+    one, two = " ".join(f"alpha{i}" for i in range(80)), " ".join(f"omega{i}" for i in range(80))
+    rows = [(2**63 - 1, one), (2**63 - 1, two), (2**63 - 1, two), (2**63 - 2, " ".join(f"other{i}" for i in range(80)))]
+    kept = minhash.one_of_each(frame(spark, rows)).collect()
+    assert sorted(r.text[:5] for r in kept) == ["alpha", "omega", "other"]
