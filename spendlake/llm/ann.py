@@ -148,7 +148,7 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest vectors found for each query, nearest first."""
     spark = vectors.sparkSession
-    rows = staged(usable(vectors, id_column, vector_column), "ann-vectors")
+    rows = staged(usable(vectors, id_column, vector_column).distinct(), "ann-vectors")  # repeated rows count once
     asked = rows.join(queries.select(F.col(id_column).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     total = rows.count()
     result = "query_id long, vec_id long, score double"

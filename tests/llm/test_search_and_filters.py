@@ -38,6 +38,32 @@ def test_scan_finds_what_brute_force_finds(spark):
     assert hits / total >= 0.95
 
 
+def test_scan_from_a_bound_of_few_rows(spark, monkeypatch):
+    """The sample gives bounds only: it holds one row in fifty of those to be found."""
+    monkeypatch.setattr(ann, "BOUND_ROWS", 60)
+    x = np.random.default_rng(5).standard_normal((3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(df, df.filter("vec_id % 100 = 0")).collect()
+    hits = 0
+    for q in range(0, 3000, 100):
+        scores = (x * x[q]).sum(1)
+        scores[q] = -np.inf
+        mine = {r.vec_id for r in found if r.query_id == q}
+        assert len(mine) == 20
+        hits += len(set(np.lexsort((np.arange(3000), -scores))[:20].tolist()) & mine)
+    assert hits / 600 >= 0.95
+
+
+def test_repeated_rows_count_once(spark):
+    x = vectors(seed=3, n=120)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>")
+    found = ann.search(df, df.filter("vec_id % 20 = 0")).collect()
+    for q in range(0, 120, 20):
+        mine = [r for r in found if r.query_id == q]
+        assert sorted(r.rank for r in mine) == list(range(1, 21)) and len({r.vec_id for r in mine}) == 20
+
+
 def test_search_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], schema)
