@@ -118,7 +118,8 @@ def numbered(found: DataFrame) -> tuple[DataFrame, int]:
     groups = groups.select("group", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(groups, "group")
-    counts = counts.select("block", (F.col("before") + F.col("inside")).alias("before"))
+    # Written, so that Spark knows its size: one row a task, which lets the sequences stay where they are.
+    counts = staged(counts.select("block", (F.col("before") + F.col("inside")).alias("before")), "blocks")
     out = found.join(counts, "block").withColumn("index", F.col("before") + F.col("number")).drop("before")
     return out, found.count()
 
