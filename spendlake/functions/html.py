@@ -5,6 +5,7 @@ Script, style and template content, comments, declarations and processing
 instructions are no text.
 """
 
+from collections import Counter
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -31,6 +32,7 @@ class _Nodes(HTMLParser):
         self.done = []
         self.node = []
         self.open = []
+        self.times = Counter()
         self.hidden = 0
 
     def end_node(self):
@@ -43,6 +45,7 @@ class _Nodes(HTMLParser):
         self.end_node()
         if tag not in _VOID:
             self.open.append(tag)
+            self.times[tag] += 1
             self.hidden += tag in _HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -50,10 +53,11 @@ class _Nodes(HTMLParser):
 
     def handle_endtag(self, tag):
         self.end_node()
-        if tag in self.open:
+        if self.times[tag]:
             closed = None
             while closed != tag:
                 closed = self.open.pop()
+                self.times[closed] -= 1
                 self.hidden -= closed in _HIDDEN
 
     def handle_data(self, data):
