@@ -2,7 +2,7 @@
 
 A table has a folder for each run that appended to it. An append writes its run's
 folder whole, so a run that is tried again leaves what one run would have
-left. With key sets an append also leaves out rows whose key another run has stored.
+left; its rows are then to be worked out from the table without that run (``but``). With key sets an append also leaves out rows whose key another run has stored.
 """
 
 import uuid
@@ -19,9 +19,12 @@ from spendlake.schemas import NO_MONTH, ODD_MONTH
 from spendlake.sources.keys import KeySet, run_path
 from spendlake.staging import staged
 
-def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All runs of a table."""
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, but: str | None = None) -> DataFrame:
+    """All runs of a table, without the run ``but``: what a run that is tried again has to start from."""
+    if but is None:
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
+    with_run = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+    return spark.read.schema(with_run).parquet(path).filter(F.col("run") != but).select(*schema.names)
 
 
 def create_runs(spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -48,16 +51,16 @@ STORED_TX = T.StructType(
 )
 
 
-def read_emails(spark: SparkSession, path: str) -> DataFrame:
-    return read_runs(spark, path, schemas.EMAILS)
+def read_emails(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    return read_runs(spark, path, schemas.EMAILS, but)
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return read_runs(spark, path, schemas.EMBEDDINGS)
+def read_embeddings(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    return read_runs(spark, path, schemas.EMBEDDINGS, but)
 
 
-def read_tx(spark: SparkSession, path: str) -> DataFrame:
-    return read_runs(spark, path, STORED_TX)
+def read_tx(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    return read_runs(spark, path, STORED_TX, but)
 
 
 def new_run() -> str:

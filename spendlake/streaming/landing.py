@@ -6,6 +6,7 @@ nothing, as ids and bodies are unique in the table.
 """
 
 import datetime
+import hashlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -23,7 +24,11 @@ def import_landed(
     today: datetime.date,
     files_per_batch: int = 100_000,
 ) -> StreamingQuery:
-    """Import every file that has landed and not been read, then stop."""
+    """Import every file that has landed and not been read, then stop.
+
+    Each batch of the stream is a run of the table: a batch that broke off is done again and replaces itself.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     files = (
         spark.readStream.format("text")
         .option("wholetext", True)
@@ -32,9 +37,10 @@ def import_landed(
         .load(folder)
     )
 
-    def one_batch(batch, _):
-        new, _ = import_messages(batch, read_emails(batch.sparkSession, emails_path), today)
-        append_emails(new, emails_path)
+    def one_batch(batch, number):
+        run = f"{stream}-{number}"
+        new, _ = import_messages(batch, read_emails(batch.sparkSession, emails_path, but=run), today)
+        append_emails(new, emails_path, run)
 
     return (
         as_messages(files)

@@ -160,3 +160,11 @@ def test_first_rows_against_a_key_set(spark, key_set):
     rows = [("1", "e", "b"), ("2", "e", "a"), ("3", "x", "c"), ("4", "old", "d")]
     df = spark.createDataFrame(rows, "id string, content_hash string, raw_path string")
     assert sorted(r.id for r in dedup.first_by_hash(df, hashes).collect()) == ["2", "3"]
+
+
+def test_a_run_is_worked_out_without_its_own_rows(spark, tmp_path):
+    path = f"{tmp_path}/vectors"
+    for run, ids in (("one", "ab"), ("2", "c")):
+        tables.append_embeddings(vectors(spark, [(i, [1.0]) for i in ids]), path, run)
+    read = lambda but: sorted(r.email_id for r in tables.read_embeddings(spark, path, but).collect())
+    assert read(None) == ["a", "b", "c"] and read("one") == ["c"] and read("2") == ["a", "b"]
