@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product, with an adaptive dimension scan.
 
 Vectors are dealt to lists by their nearest centre (fitted on a bounded sample,
-``sample_rows``); every vector is indexed. Vectors and queries are rotated by one random orthogonal
-matrix and kept in blocks of dimensions. Within each list that a query probes, the scan adds one block at a time
-to the partial products; after each, a candidate goes where a test on the
-unseen dimensions (their product is about normal after the rotation) puts a bound out of reach: the
-query's 20th best score within a part of the sample, which the true ones are not below. What is left is scored exactly, in double precision, on the original vectors.
+``sample_rows``); every vector is indexed. Vectors and queries, scaled to length one, are turned to the principal
+axes of the sample and kept in blocks of dimensions. Within each list that a query probes, the scan adds one block at a
+time to the partial products; after each, a candidate goes where the unseen dimensions cannot reach a bound
+(their product is at most that of their lengths): the query's 20th best score within a part of the sample, which the
+true ones are not below. So the scan itself loses nothing, whatever the rows are; the axes only decide how
+soon it is done. What is left is scored exactly, in double precision, on the original vectors.
 
 How many lists to probe is measured: the exact neighbours of a bounded sample of
 queries (``tuning_queries``) are found among all vectors, and the fewest lists that hold
@@ -33,8 +34,8 @@ TUNING_QUERIES = 128
 TARGET = 0.97
 #: Dimensions in a block.
 BLOCK = 16
-#: Standard deviations that the unseen dimensions are given.
-DOUBT = 3.5
+#: Above this share of live pairs a block is one matrix product; below it only they are weighed.
+DENSE = 0.1
 #: Vectors, and queries, that one scan holds, and pairs that it weighs at a time.
 PART_ROWS, PART_QUERIES, PAIRS = 20_000, 4_000, 1 << 20
 #: Rows of the sample that give each query its first bound.
@@ -82,6 +83,22 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows, of very small and very large numbers too."""
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
+def _tails(x: np.ndarray, starts: range) -> np.ndarray:
+    """Lengths of rows from each of ``starts`` on, and 0 after the last."""
+    return np.stack([*(np.sqrt((x[:, s:] ** 2).sum(1)) for s in starts), np.zeros(len(x), x.dtype)], axis=1)
+
+
+def principal_axes(unit: np.ndarray) -> np.ndarray:
+    """Orthogonal axes of rows of length one, those along which the rows are longest first."""
+    return np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:top]
 
@@ -99,42 +116,38 @@ def scan(x: np.ndarray, rotated: np.ndarray, ids: np.ndarray, queries: np.ndarra
          query_ids: np.ndarray, bounds: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, id and score of the best rows for each query, by the adaptive dimension scan.
 
-    ``x`` and ``queries`` are the original vectors, ``rotated`` and ``turned`` the rotated
-    ones. ``bounds``: scores that the ``top`` best of a query are known to reach.
+    ``x`` and ``queries`` are the original vectors, ``rotated`` and ``turned`` those of length one on other
+    axes. ``bounds``: scores that the ``top`` best of a query are known to reach.
     """
     starts = range(0, x.shape[1], BLOCK)
-    tails = np.sqrt(np.stack([(rotated[:, s:] ** 2).sum(1) for s in starts], axis=1))
-    lengths = np.sqrt(np.stack([(turned[:, s:] ** 2).sum(1) for s in starts], axis=1))
+    tails, lengths = _tails(rotated, starts), _tails(turned, starts)
+    norms, reach = _lengths(x), bounds / _lengths(queries)
+    slack = 1e-7 * (x.shape[1] + 100)  # more than products of single precision are off
     found = []
     width = max(1, PAIRS // len(x))
     for a in range(0, len(queries), width):
         q = np.arange(a, min(a + width, len(queries)))
-        partial = rotated[:, :BLOCK] @ turned[q, :BLOCK].T
-        slack = 1e-5 * np.outer(tails[:, 0], lengths[q, 0])
-        reach = np.outer(tails[:, 1], lengths[q, 1]) if len(starts) > 1 else 0 * slack
-        keep = partial + _likely(reach, x.shape[1] - BLOCK) + slack >= bounds[q]
-        keep &= ids[:, None] != query_ids[q]
-        row, column = np.nonzero(keep)
-        partial, query = partial[row, column], q[column]
-        for b, s in enumerate(starts):
-            if b == 0:
-                continue
-            partial = partial + _scores(rotated[row, s : s + BLOCK], turned[query, s : s + BLOCK])
-            reach = tails[row, b + 1] * lengths[query, b + 1] if b + 1 < len(starts) else 0.0
-            likely = _likely(reach, x.shape[1] - s - BLOCK)
-            keep = partial + likely + 1e-5 * tails[row, 0] * lengths[query, 0] >= bounds[query]
-            row, query, partial = row[keep], query[keep], partial[keep]
+        limit = reach[q] / norms[:, None] - slack
+        live = ids[:, None] != query_ids[q]
+        partial, b = np.zeros(limit.shape, np.float32), 0
+        while b < len(starts) and live.mean() > DENSE:
+            block = slice(starts[b], starts[b] + BLOCK)
+            partial += rotated[:, block] @ turned[q, block].T
+            b += 1
+            live &= ~(partial + np.outer(tails[:, b], lengths[q, b]) < limit)
+        row, column = np.nonzero(live)
+        partial, query, limit = partial[row, column], q[column], limit[row, column]
+        for b in range(b, len(starts)):
+            block = slice(starts[b], starts[b] + BLOCK)
+            partial = partial + _scores(rotated[row, block], turned[query, block])
+            keep = ~(partial + tails[row, b + 1] * lengths[query, b + 1] < limit)
+            row, query, partial, limit = row[keep], query[keep], partial[keep], limit[keep]
         exact = _scores(x[row], queries[query])
         best = _top_of_each(query, exact, ids[row], top)
         found.append((query[best], ids[row][best], exact[best]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _likely(reach, unseen: int):
-    """What the unseen dimensions may add: all of ``reach``, or DOUBT deviations of it."""
-    return reach * min(1.0, DOUBT / np.sqrt(unseen)) if unseen > 0 else 0.0
-
-
 def search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -159,10 +172,9 @@ def search(
     sample, sample_ids = np.stack(taken["vector"].to_numpy()), taken["vec_id"].to_numpy()
     lists = int(min(len(sample), MOST_LISTS, max(1, round(np.sqrt(total)))))
     middle = centres(sample, lists, seed)
-    width = sample.shape[1]
-    turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))[0]
+    turn = principal_axes(sample / _lengths(sample)[:, None])
     some = (sample[:BOUND_ROWS], sample_ids[:BOUND_ROWS])
-    shared = spark.sparkContext.broadcast((middle, turn, some))  # (MOST_LISTS + width + BOUND_ROWS) * width numbers
+    shared = spark.sparkContext.broadcast((middle, turn, some))  # MOST_LISTS, BOUND_ROWS and one for each dimension: so many rows
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, turned, _ = shared.value
@@ -170,7 +182,7 @@ def search(
             x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
             if len(x):
                 near = _nearest(x, found).tolist()
-                rotated = (x @ turned).astype("<f4")
+                rotated = (x / _lengths(x)[:, None] @ turned).astype("<f4")
                 ids = batch.column(0).to_pylist()
                 rows = [(n, i, a.tobytes(), r.tobytes()) for n, i, a, r in zip(near, ids, x, rotated)]
                 yield arrow_rows(rows, "list long, vec_id long, vector binary, rotated binary")

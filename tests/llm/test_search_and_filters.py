@@ -54,6 +54,37 @@ def test_scan_from_a_bound_of_few_rows(spark, monkeypatch):
     assert hits / 600 >= 0.95
 
 
+def other_rows(kind, rng, n=1500, width=48):
+    x = rng.standard_normal((n, width))
+    if kind == "close groups":
+        groups = rng.standard_normal((30, width))
+        return groups[rng.integers(0, 30, n)] + 0.05 * x
+    if kind == "one side":
+        return x + 3
+    if kind == "few axes":
+        return x[:, :4] @ rng.standard_normal((4, width))
+    if kind == "skewed lengths":
+        return x * rng.lognormal(0, 2, (n, 1))
+    return x * {"tiny": 1e-30, "huge": 1e30}[kind]
+
+
+@pytest.mark.parametrize("kind", ["close groups", "one side", "few axes", "skewed lengths", "tiny", "huge"])
+def test_scan_of_other_rows(spark, monkeypatch, kind):
+    """What the unseen dimensions may add does not rest on how the rows lie."""
+    monkeypatch.setattr(ann, "BOUND_ROWS", 60)
+    x = other_rows(kind, np.random.default_rng(6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(df, df.filter("vec_id % 50 = 0")).collect()
+    hits = 0
+    for q in range(0, 1500, 50):
+        scores = (x * x[q]).sum(1)
+        scores[q] = -np.inf
+        mine = {r.vec_id for r in found if r.query_id == q}
+        assert len(mine) == 20
+        hits += len(set(np.lexsort((np.arange(1500), -scores))[:20].tolist()) & mine)
+    assert hits / 600 >= 0.95
+
+
 def test_repeated_rows_count_once(spark):
     x = vectors(seed=3, n=120)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
