@@ -34,7 +34,7 @@ SAMPLES = BANDS * ROWS
 SHARED_SAMPLES = 35
 #: Word frequencies are counted in a table of so many slots.
 WORD_SLOTS = 1 << 18
-#: Members of a band, and bytes of text, that one comparison holds.
+#: Members of a part of a band (two parts meet), and bytes of text, that one comparison holds.
 BAND_ROWS = 4000
 GROUP_BYTES = 32 << 20
 #: Shingles drawn from at a time, so that the arrays stay in cache.
@@ -173,7 +173,7 @@ def _sketch_matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _agreeing(rows: pa.Table) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the members of a band that share enough samples."""
+    """A spanning forest of the members of a band (or of two parts of it) that share enough samples."""
     ids, sketches = rows.column("doc_id").to_numpy(), _sketch_matrix(rows.column("sketch"))
     root = np.arange(len(ids))
     for i in range(len(ids) - 1):
@@ -188,20 +188,21 @@ def _agreeing(rows: pa.Table) -> Iterator[tuple[int, int]]:
 def candidate_links(texts: DataFrame) -> DataFrame:
     """Links ``a, b`` that join all texts (``doc_id``, ``sketch``) sharing a band and enough samples.
 
-    A band with more than BAND_ROWS members is compared in parts, and its parts are
-    joined by one link each: verification decides.
+    A band with more than BAND_ROWS members is split in parts, and every two parts meet in a task of
+    their own, so that any two members are compared: exact, in bounded memory.
     """
     width = 4 * ROWS
     keys = [F.xxhash64(F.lit(k), F.substring("sketch", k * width + 1, width)) for k in range(BANDS)]
     members = texts.select("doc_id", "sketch", F.explode(F.array(*keys)).alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / BAND_ROWS)
-    shared = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
-    within = runs(shared.select("band", "part", "doc_id", "sketch"), ["band", "part"], _agreeing, "a long, b long")
-    large = members.select("band", "doc_id").join(sizes.filter(F.col("n") > BAND_ROWS), "band")
-    heads = large.groupBy("band", F.pmod(F.xxhash64("doc_id"), parts).alias("part")).agg(F.min("doc_id").alias("b"))
-    first = heads.groupBy("band").agg(F.min("b").alias("a"))
-    return within.union(heads.join(first, "band").filter("a <> b").select("a", "b")).distinct()
+    sizes = sizes.select("band", F.ceil(F.col("n") / BAND_ROWS).alias("parts"))
+    shared = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("part"))
+    meets = F.when(F.col("parts") == 1, F.array("part")).otherwise(others)
+    met = shared.withColumn("other", F.explode(meets)).select(
+        "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "doc_id", "sketch"
+    )
+    return runs(met, ["band", "low", "high"], _agreeing, "a long, b long").distinct()
 
 
 def _verified(rarity) -> Callable:

@@ -169,6 +169,21 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_large_bands_lose_no_link(spark, monkeypatch):
+    """All texts share one band only; members that agree are found in whatever parts they are."""
+    monkeypatch.setattr(minhash, "BAND_ROWS", 5)
+    rng = np.random.default_rng(4)
+    rows = []
+    for pair in range(20):
+        one = rng.integers(1, 2**32, minhash.SAMPLES, dtype=np.uint32)
+        one[: minhash.ROWS] = 7
+        two = one.copy()
+        two[minhash.ROWS :: minhash.ROWS] ^= 1  # no other band is equal, but most samples are
+        rows += [(2 * pair, one.astype("<u4").tobytes()), (2 * pair + 1, two.astype("<u4").tobytes())]
+    links = minhash.candidate_links(spark.createDataFrame(rows, "doc_id long, sketch binary")).collect()
+    assert {tuple(sorted(x)) for x in links} == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
 def test_samples_estimate_the_weighted_similarity():
     rng = np.random.default_rng(1)
     names = rng.integers(0, 2**63, 3000).astype(np.uint64)
