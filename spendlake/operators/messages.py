@@ -14,7 +14,6 @@ import json
 from email import policy
 from email.policy import EmailPolicy
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,13 +47,14 @@ def _part_text(part) -> str:
         return part.get_payload(decode=True).decode("utf-8", "replace")
 
 
+@functools.cache
 def _reading_policy() -> EmailPolicy:
-    """The default policy, but no header text is parsed twice.
+    """The default policy, but no header text is parsed twice. One for each worker.
 
     One message asks for its headers many times, and most messages share
-    some of them.
+    some of them. A parsed header is large, so few are remembered.
     """
-    parsed = functools.lru_cache(maxsize=4096)(policy.default.header_fetch_parse)
+    parsed = functools.lru_cache(maxsize=64)(policy.default.header_fetch_parse)
 
     class Remembering(EmailPolicy):
         def header_fetch_parse(self, name, value):
@@ -120,29 +120,27 @@ def read_tree(payload: str) -> dict:
     return {"body": body}
 
 
-def _rows(values: pd.Series, read) -> pd.DataFrame:
-    """One row of fields per value; missing values give empty rows."""
-
-    def one(value):
-        if value is None:
-            return {}
+def _row(value: str | None, read) -> tuple:
+    """The fields of a value; a missing one has none."""
+    fields = {}
+    if value is not None:
         try:
-            return read(value)
+            fields = read(value)
         except Exception as problem:
-            return {"error": f"{type(problem).__name__}"}
-
-    rows = [one(v) for v in values]
-    return pd.DataFrame(rows, index=values.index, columns=_FIELDS.names, dtype=object)
+            fields = {"error": f"{type(problem).__name__}"}
+    return tuple(fields.get(name) for name in _FIELDS.names)
 
 
-@F.pandas_udf(_FIELDS)
-def _mime_fields(raw: pd.Series) -> pd.DataFrame:
-    return _rows(raw, functools.partial(read_mime, reading=_reading_policy()))
+# Plain functions, not vectorised ones: Spark hands these 100 rows at a time, and 10,000 to
+# the others, however long the messages are.
+@F.udf(_FIELDS, useArrow=False)
+def _mime_fields(raw):
+    return _row(raw, lambda value: read_mime(value, _reading_policy()))
 
 
-@F.pandas_udf(_FIELDS)
-def _tree_fields(payload: pd.Series) -> pd.DataFrame:
-    return _rows(payload, read_tree)
+@F.udf(_FIELDS, useArrow=False)
+def _tree_fields(payload):
+    return _row(payload, read_tree)
 
 
 def parse_messages(messages: DataFrame, today: datetime.date) -> DataFrame:

@@ -170,3 +170,10 @@ def test_a_repeated_key_counts_with_its_last_value(spark):
     assert parsed(spark, [text])[0].id == "2"
     tree = '{"id":"3","payload":{"body":{"data":"AAAAA"},"body":{"data":"AAAAA","data":"%s"}}}' % coded("last")
     assert parsed(spark, [tree])[0].body_text == "last"
+
+
+def test_python_holds_few_messages_at_a_time(spark, plan):
+    """Vectorised functions get 10,000 messages in one batch, plain ones a hundred."""
+    df = spark.createDataFrame([("a.json", "{}")], "raw_path string, text string")
+    shown = plan(parse_messages(df, TODAY))
+    assert "BatchEvalPython [_mime_fields" in shown and "ArrowEvalPython [_mime_fields" not in shown
