@@ -525,8 +525,8 @@ def raw_folder_scan(t):
     """One file per message is written, then scanned."""
     folder = stage_path(t.spark, "landing")
     raw = F.get_json_object("text", "$.raw")
-    envelope = t.doc_messages_v.select(F.col("id").alias("file"), "id", raw.alias("raw"))
-    envelope.repartition("file").write.partitionBy("file").json(folder)
+    envelope = F.to_json(F.struct("id", raw.alias("raw"))).alias("text")
+    landing.land_messages(t.doc_messages_v.select(F.col("id").alias("file"), envelope), folder)
     found = landing.scan_messages(t.spark, folder, nested=True)
     line = F.rtrim(found["text"], F.lit("\n"))
     return found.select(

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from spendlake.llm.common import arrow_rows, mixed, runs, slices, staged, text_bytes
 from spendlake.llm.tokens import encoder
+from spendlake.staging import file_system, qualified
 
 SEQUENCE = 1024
 END_ID = 1
@@ -124,20 +125,6 @@ def numbered(found: DataFrame) -> tuple[DataFrame, int]:
     return out, found.count()
 
 
-def _file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if folder.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
-    if "://" not in folder:
-        return pyarrow.fs.LocalFileSystem(), folder
-    return pyarrow.fs.FileSystem.from_uri(folder)
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """``folder`` with the scheme that Spark gives it: one without is on the default file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
@@ -163,7 +150,7 @@ def materialise(
 
     def write(table: pa.Table) -> Iterator[tuple]:
         shard = table.column("shard")[0].as_py()
-        files, base = _file_system(folder)
+        files, base = file_system(folder)
         files.create_dir(base, recursive=True)
         path = shard_path(base, shard)
         draft = f"{path}.{np.random.default_rng().integers(2**62):x}"
@@ -183,7 +170,7 @@ def materialise(
 
 def read_from(folder: str, slot: int, length: int = SEQUENCE, shard_sequences: int = SHARD_SEQUENCES) -> Iterator[np.ndarray]:
     """The sequences from ``slot`` on, in order of slot, by sequential reads."""
-    files, base = _file_system(folder)
+    files, base = file_system(folder)
     shard, skip = divmod(slot, shard_sequences)
     while files.get_file_info(shard_path(base, shard)).type == pyarrow.fs.FileType.File:
         with files.open_input_file(shard_path(base, shard)) as data:

@@ -1,7 +1,14 @@
 """Landed raw messages: a folder with one JSON object per file."""
 
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import Row
+
+from spendlake.staging import file_system, qualified
+
 
 def as_messages(files: DataFrame) -> DataFrame:
     """Path and text of whole-text files, read as a batch or as a stream.
@@ -28,6 +35,29 @@ def scan_messages(spark: SparkSession, folder: str, nested: bool = False) -> Dat
     return as_messages(files)
 
 
+def land_messages(messages: DataFrame, folder: str) -> None:
+    """Write each ``text`` of ``messages`` to the ``*.json`` file of its ``file``, in sub-folders of ``folder``.
+
+    Rows with one ``file`` (or none) are lines of one file. Tasks write the files where they stay:
+    a writer of Spark moves every file on the driver. File names are hashes of ``file``.
+    """
+    target = qualified(messages.sparkSession, folder)
+    files, base = file_system(target)
+    files.create_dir(base)
+
+    def write(rows: Iterator[Row]) -> None:
+        files, base = file_system(target)
+        for part, named in groupby(rows, lambda r: r["name"][:2]):
+            files.create_dir(f"{base}/{part}")
+            for name, lines in groupby(named, lambda r: r["name"]):
+                with files.open_output_stream(f"{base}/{part}/{name}.json") as out:
+                    for line in lines:
+                        out.write(f"{line['text']}\n".encode())
+
+    name = F.coalesce(F.sha2("file", 256), F.lit("none")).alias("name")
+    messages.select(name, "text").repartition("name").sortWithinPartitions("name").foreachPartition(write)
+
+
 def compact(messages: DataFrame, path: str) -> None:
     """Store scanned messages as Parquet, so that later runs read few files."""
     messages.hint("rebalance").write.mode("append").parquet(path)

@@ -9,6 +9,7 @@ import functools
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -44,3 +45,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """For files that tasks write themselves: the file system of a ``qualified`` folder, and its path there."""
+    if folder.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    if "://" not in folder:
+        return pyarrow.fs.LocalFileSystem(), folder
+    return pyarrow.fs.FileSystem.from_uri(folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark gives it: one without is on the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -210,3 +210,17 @@ def test_shared_folder(spark):
     assert os.path.isdir(local) and staging.shared_folder(Session("local[2]")) == local
     with pytest.raises(ValueError):
         staging.shared_folder(Session("yarn"))
+
+
+def test_landed_files_are_written_where_they_stay(spark, tmp_path):
+    rows = [("b/1", "{1}"), ("b/1", "{2}"), ("_c", "é"), (None, "x"), (None, "x")] + [(f"m{i}", str(i)) for i in range(50)]
+    folder = f"{tmp_path}/landed"
+    landing.land_messages(spark.createDataFrame(rows, "file string, text string"), folder)
+    names = [name for _, _, found in os.walk(folder) for name in found]
+    assert len(names) == 53 and all(name.endswith(".json") for name in names)  # no marks, no check sums
+    texts = [r.text for r in landing.scan_messages(spark, folder, nested=True).collect()]
+    assert sorted(sorted(text.split("\n")) for text in texts) == sorted(
+        [["", "{1}", "{2}"], ["", "é"], ["", "x", "x"]] + [["", str(i)] for i in range(50)]
+    )
+    landing.land_messages(spark.createDataFrame([], "file string, text string"), f"{tmp_path}/none")
+    assert landing.scan_messages(spark, f"{tmp_path}/none", nested=True).count() == 0
