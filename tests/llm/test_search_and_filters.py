@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -143,6 +144,29 @@ def test_quality_model_on_held_out_rows(spark):
     assert quality.keep_good(docs.limit(0), labels).collect() == []
 
 
+def test_the_driver_holds_no_features_of_the_sample(spark):
+    """The driver's Python gets the model, not what it is fitted on (here some 17 MB)."""
+    words = "concat_ws(' ', transform(sequence(1, 9000), x -> hex(hash(x, id))))"
+    docs = spark.range(40).selectExpr("id AS doc_id", f"{words} AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    tracemalloc.start()
+    try:
+        model = quality.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.weights) == quality.WIDTH and peak < 8e6
+
+
+def test_of_rows_with_one_doc_id_the_last_is_fitted(spark):
+    rows = [(i, f"w{i} " * 60 + f"x{i % 2} " * 60) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    twice = [(i, "other words") for i, _ in rows] + rows
+    again = quality.fit(spark.createDataFrame(twice, "doc_id long, text string"), labels)
+    assert (once.weights == again.weights).all() and (once.slope, once.shift) == (again.slope, again.shift)
+
+
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
