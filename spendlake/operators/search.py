@@ -26,7 +26,7 @@ def _fields(emails: DataFrame) -> DataFrame:
 
 def _counts(words: Column) -> Column:
     """``term, tf`` of an array of words: sorted, each run of equal words is one term."""
-    held = F.struct(F.array_sort(words).alias("w"))
+    held = F.struct(F.sort_array(words).alias("w"))
     at = lambda x, i: F.get(x["w"], i)
     first = lambda x: F.filter(
         F.sequence(F.lit(0), F.size(x["w"]) - 1), lambda i: (i == 0) | (at(x, i) != at(x, i - 1))
@@ -36,10 +36,10 @@ def _counts(words: Column) -> Column:
     terms = lambda x: F.transform(
         x["first"], lambda i, j: F.struct(at(x, i).alias("term"), (ends(x, j) - i).cast("long").alias("tf"))
     )
-    # Arrays of one: the words are sorted, and their runs found, once for each text.
+    # Arrays of one: the text is split, the words are sorted, and their runs found, once for each text.
     once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     none = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.when(F.size(words) > 0, once(held, lambda x: once(runs(x), terms))).otherwise(none)
+    return once(held, lambda x: F.when(F.size(x["w"]) > 0, once(runs(x), terms)).otherwise(none))
 
 
 def postings(emails: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def test_postings_need_no_exchange(spark, plan):
     assert "Exchange" not in plan(search.postings(spark.createDataFrame(mails(1, 3), MAILS)))
 
 
+def test_postings_split_a_text_once(spark, plan):
+    text = plan(search.postings(spark.createDataFrame(mails(1, 3), MAILS)))
+    assert text.count("split(") == 1 and "array_sort(" not in text
+
+
 @pytest.mark.parametrize("query", ["the", "THE of", "invoice paid été", "nothing here", "", "!", "日本 x1", "the the"])
 def test_index_equals_a_search_of_all_mails(spark, tmp_path, query):
     rows, path = mails(2, 120), f"{tmp_path}/index"
