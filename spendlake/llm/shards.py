@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,18 +71,19 @@ def _narrow(data: bytes) -> np.ndarray:
     return ids.astype("<u2")
 
 
-def sequences(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, squeezed: bool = False) -> DataFrame:
     """``block, number, ids, n_ids, doc_id, start``: numbered within each block.
 
-    ``ids`` are 16-bit, padded; ``doc_id`` and ``start`` say where the sequence begins. A block is
-    what one task reads, in its order: texts are not moved. So the numbers depend on how Spark splits the
-    input; the result is to be written, and read from there.
+    ``ids`` are 16-bit, padded; ``doc_id`` and ``start`` say where the sequence begins. With ``squeezed`` the ids
+    are compressed (zstd). A block is what one task reads, in its order: texts are not moved. So the numbers
+    depend on how Spark splits the input; the result is to be written, and read from there.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("data"))
     schema = "block long, number long, ids binary, n_ids long, doc_id long, start long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode, end = encoder(tokenizer_path).encode, np.array([END_ID], "<u2")
+        sent = zstandard.ZstdCompressor(level=3).compress if squeezed else bytes
         block = TaskContext.get().partitionId()
         held, size, origin, number = [], 0, None, 0
         for batch in batches:
@@ -96,12 +98,12 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE) -> D
                     size += len(part)
                     at += len(part)
                     if size == length:
-                        yield block, number, np.concatenate(held).tobytes(), length, *origin
+                        yield block, number, sent(np.concatenate(held).tobytes()), length, *origin
                         held, size, origin, number = [], 0, None, number + 1
         if size:
             full = np.full(length, PAD_ID, "<u2")
             full[:size] = np.concatenate(held)
-            yield block, number, full.tobytes(), size, *origin
+            yield block, number, sent(full.tobytes()), size, *origin
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = cut(batches)
@@ -138,7 +140,7 @@ def materialise(
     ``slot, shard, byte_offset, index, n_ids, ids_crc32, doc_id, start``.
     """
     folder = qualified(docs.sparkSession, folder)
-    found = staged(sequences(docs, tokenizer_path, length), "sequences")
+    found = staged(sequences(docs, tokenizer_path, length, squeezed=True), "sequences")
     found, total = numbered(found)
 
     @F.pandas_udf("long")
@@ -154,7 +156,8 @@ def materialise(
         files.create_dir(base, recursive=True)
         path = shard_path(base, shard)
         draft = f"{path}.{np.random.default_rng().integers(2**62):x}"
-        data = table.column("ids").to_pylist()
+        restore = zstandard.ZstdDecompressor().decompress
+        data = [restore(ids) for ids in table.column("ids").to_pylist()]
         with files.open_output_stream(draft) as out:
             for ids in data:
                 out.write(ids)

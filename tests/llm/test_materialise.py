@@ -150,6 +150,23 @@ def test_shards_round_trip(spark, texts, ids, tmp_path):
     assert shards.materialise(frame(spark, []), PATH, f"file://{tmp_path}/none").collect() == []
 
 
+def test_sequences_are_written_and_moved_compressed(spark, tmp_path, monkeypatch):
+    """On the way to the shards ids take well under 16 bits."""
+
+    def written(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}")
+
+    monkeypatch.setattr(shards, "staged", written)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    text = lambda: " ".join(words[int(len(words) * rng.random() ** 3)] for _ in range(4000))
+    docs = spark.createDataFrame([(i, text()) for i in range(20)], "doc_id long, text string")
+    n = shards.materialise(docs, PATH, f"{tmp_path}/out").count()
+    size = spark.read.parquet(f"{tmp_path}/sequences").agg(F.sum(F.length("ids"))).first()[0]
+    assert 0 < size < 0.8 * 2 * shards.SEQUENCE * n
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
