@@ -172,17 +172,25 @@ def _sketch_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SAMPLES)
 
 
+def _least_joined(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each member the least id of those that have its root."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    return least[root]
+
+
 def _agreeing(rows: pa.Table) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the members of a band (or of two parts of it) that share enough samples."""
+    """Members of a band (or of two parts of it) that are joined by enough shared samples, as stars of least ids."""
     ids, sketches = rows.column("doc_id").to_numpy(), _sketch_matrix(rows.column("sketch"))
     root = np.arange(len(ids))
     for i in range(len(ids) - 1):
         rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         close = rest[(sketches[rest] == sketches[i]).sum(1) >= SHARED_SAMPLES]
         for j in close.tolist():
-            if root[j] != root[i]:
-                root[root == root[j]] = root[i]
-                yield int(ids[i]), int(ids[j])
+            root[root == root[j]] = root[i]
+    least = _least_joined(ids, root)
+    far = ids != least
+    yield from zip(least[far].tolist(), ids[far].tolist())
 
 
 def candidate_links(texts: DataFrame) -> DataFrame:
@@ -205,32 +213,71 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     return runs(met, ["band", "low", "high"], _agreeing, "a long, b long").distinct()
 
 
+class _Overlaps:
+    """The sets of a group, to be compared one with many."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sets = sets
+        self.total = np.array([s[1].sum() for s in sets])
+        self.sizes = np.array([len(s[0]) for s in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        known, numbers = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+        self.numbers = numbers.astype(np.int32)  # the sets one after the other
+        self.weights = np.concatenate([s[1] for s in sets])
+        self.one = np.zeros(len(known), np.float32)
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` whose weighted Jaccard similarity with set ``i`` is high enough."""
+        if not len(others):
+            return others
+        own = slice(self.starts[i], self.starts[i] + self.sizes[i])
+        self.one[self.numbers[own]] = self.weights[own]
+        n = self.sizes[others]
+        first = np.cumsum(n) - n
+        at = np.repeat(self.starts[others] - first, n) + np.arange(n.sum())
+        lesser = np.minimum(self.one[self.numbers[at]], self.weights[at])
+        self.one[self.numbers[own]] = 0
+        both = np.add.reduceat(lesser, first, dtype=np.float64)
+        similar = both / (self.total[others] + float(self.total[i]) - both)
+        # Sums in another order differ in the last digits: those at the edge are compared alone.
+        edge = np.flatnonzero(np.abs(similar - SIMILARITY) < 1e-4)
+        similar[edge] = [weighted_jaccard(self.sets[i], self.sets[j]) for j in others[edge].tolist()]
+        return others[similar >= SIMILARITY]
+
+
 def _verified(rarity) -> Callable:
-    """Links of a group whose weighted Jaccard similarity is high enough, as a spanning forest."""
+    """Links of a group whose weighted Jaccard similarity is high enough, as a spanning forest.
 
-    def verify(rows: pa.Table) -> Iterator[tuple[int, int]]:
+    With each link the least id that it is joined to in this group.
+    """
+
+    def verify(rows: pa.Table) -> Iterator[tuple[int, int, int]]:
         ids, sketches = rows.column("doc_id").to_numpy(), _sketch_matrix(rows.column("sketch"))
-        sets = [shingles(x.as_py(), rarity.value) for x in rows.column("data")]
-        total = np.array([s[1].sum() for s in sets])
-        root = np.arange(len(ids))
+        overlaps = _Overlaps([shingles(x.as_py(), rarity.value) for x in rows.column("data")])
+        total = overlaps.total
+        root, links = np.arange(len(ids)), []
         for i in range(len(ids) - 1):
             rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
             lesser, greater = np.minimum(total[rest], total[i]), np.maximum(total[rest], total[i])
             rest = rest[lesser >= SIMILARITY * greater * 0.9999]
             same = (sketches[rest] == sketches[i]).sum(1)
             order = np.argsort(-same, kind="stable")
-            for j, n in zip(rest[order].tolist(), same[order].tolist()):
-                if n < SHARED_SAMPLES:
-                    break
-                if root[j] != root[i] and weighted_jaccard(sets[i], sets[j]) >= SIMILARITY:
+            order = order[same[order] >= SHARED_SAMPLES]
+            for j in overlaps.near(i, rest[order]).tolist():
+                if root[j] != root[i]:
                     root[root == root[j]] = root[i]
-                    yield int(ids[i]), int(ids[j])
+                    links.append((i, j))
+        least = _least_joined(ids, root)
+        for i, j in links:
+            yield int(ids[i]), int(ids[j]), int(least[i])
 
     return verify
 
 
 def verified_links(docs: DataFrame, texts: DataFrame, groups: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """Links between texts of a candidate group (``node, component``) that are near duplicates.
+    """Links ``a, b`` between texts of a candidate group (``node, component``) that are near duplicates.
+
+    ``least`` is the least text that a task joined them to.
 
     A group with more than GROUP_BYTES of text is split in parts, and every two parts meet in a
     task of their own: exact, in bounded memory.
@@ -252,7 +299,7 @@ def verified_links(docs: DataFrame, texts: DataFrame, groups: DataFrame, rarity:
     )
     whole = members.join(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), F.col("_id") == F.col("doc_id"))
     whole = whole.select("component", "low", "high", "doc_id", "sketch", "data")
-    return runs(whole, ["component", "low", "high"], _verified(shared), "a long, b long")
+    return runs(whole, ["component", "low", "high"], _verified(shared), "a long, b long, least long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -271,7 +318,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = staged(chosen.dropDuplicates(["doc_id"]), "near-texts")
     groups = components(candidate_links(chosen.select("doc_id", "sketch")))
     links = staged(verified_links(docs, chosen, groups, rarity), "near-links")
-    classes = components(links)
+    # Links to the least are stars already, where no group was split.
+    stars = F.inline(F.array(*[F.struct("least", F.col(end).alias("b")) for end in ("a", "b")])).alias("a", "b")
+    classes = components(links.select(stars))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = (
         keys.join(first, "text_key", "left")

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spendlake.llm import minhash, spans, suffix
@@ -194,6 +196,41 @@ def test_samples_estimate_the_weighted_similarity():
     assert abs((sketches[0] == sketches[1]).mean() - minhash.weighted_jaccard(a, b)) < 0.2
 
 
+def test_one_text_meets_many_at_once(monkeypatch):
+    """A group of texts that are mostly below the threshold: the same links as pair by pair, without a call for each pair."""
+    rng, each = np.random.default_rng(5), minhash.weighted_jaccard
+    common = [f"word{i}" for i in range(200)]
+    texts = []
+    for i in range(60):  # two in three keep so little that they are alone
+        changed = rng.choice(200, 2 if i % 3 == 0 else 12, replace=False)
+        texts.append(" ".join(f"new{i}x{k}" if k in changed else w for k, w in enumerate(common)).encode())
+    rarity = np.ones(minhash.WORD_SLOTS, np.float32)
+    sets = [minhash.shingles(x, rarity) for x in texts]
+    similar = {(i, j) for i in range(60) for j in range(i) if each(sets[i], sets[j]) >= minhash.SIMILARITY}
+    same = np.full(minhash.SAMPLES, 7, "<u4").tobytes()  # all are candidates
+    rows = pa.table({"doc_id": list(range(60)), "sketch": pa.array([same] * 60, pa.binary()), "data": pa.array(texts, pa.binary())})
+    calls = []
+    monkeypatch.setattr(minhash, "weighted_jaccard", lambda a, b: calls.append(1) or each(a, b))
+    links = list(minhash._verified(type("Shared", (), {"value": rarity}))(rows))
+    group = {i: i for i in range(60)}
+    for i, j in similar:
+        group = {k: group[j] if g == group[i] else g for k, g in group.items()}
+    least = {g: min(k for k in group if group[k] == g) for g in group.values()}
+    assert similar and {(max(a, b), min(a, b)) for a, b, _ in links} <= similar
+    assert len(links) == 60 - len(least) and all(low == least[group[a]] for a, _, low in links)
+    assert len(calls) < 60  # there are over a thousand pairs
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    module, writes = sys.modules[components.__module__], []
+    written = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: writes.append(name) or written(df, name))
+    stars = [(0, i) for i in range(1, 9)] + [(20, i) for i in range(21, 25)]
+    got = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {**dict.fromkeys(range(9), 0), **dict.fromkeys(range(20, 25), 20)}
+    assert len(writes) == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()
