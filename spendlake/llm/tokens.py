@@ -11,13 +11,13 @@ from tokenizers import Tokenizer
 from spendlake.llm.common import word_hashes
 
 #: Words, and bare lower-case words, whose ids a worker remembers.
-CACHED_WORDS, CACHED_CORES = 500_000, 400_000
+CACHED_WORDS, CACHED_CORES = 1_000_000, 800_000
 #: Marks that may follow a word; none of them starts a contraction.
 _MARKS = b".,;:!?"
 #: Text whose words are looked up together.
-WINDOW_BYTES = 2 << 20
+WINDOW_BYTES = 1 << 20
 #: Words that the tokenizer reads as one text.
-ENCODED_WORDS = 4096
+ENCODED_WORDS = 1024
 _SPACE, _WORD = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+")
 
 
@@ -28,6 +28,13 @@ def _gathered(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> n
     return values[at]
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among ``known``, which ascends."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class WordEncoder:
     """Ids of a text by a tokenizer that never joins across white space.
 
@@ -52,19 +59,21 @@ class WordEncoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _forget_cores(self) -> None:
-        """Known parts of words: where their ids lie in ``core_ids``."""
-        self.cores: dict[bytes, int] = {}
+        """Known parts of words by hash: where their ids lie in ``core_ids``."""
+        self.cores = np.zeros(0, np.uint64)
         self.core_offsets, self.core_lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.core_ids = np.zeros(0, np.uint32)
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         """A word in lower case, and the marks behind it; other words whole."""
         core = word.rstrip(_MARKS)
-        text = core.decode("utf-8", "replace")
-        if not self.folds or not text.isalpha():
+        if not self.folds:
             return word, b""
-        if text.isascii():
+        if core.isalpha():  # ASCII letters only
             return core.lower(), word[len(core) :]
+        text = core.decode("utf-8", "replace")
+        if not text.isalpha():
+            return word, b""
         # Letters must stay letters when composed and lowered; else the word is left whole.
         whole = unicodedata.normalize("NFC", text).lower().isalpha()
         return (core, word[len(core) :]) if whole else (word, b"")
@@ -76,35 +85,59 @@ class WordEncoder:
         """
         starts = np.cumsum([0, *(len(word) + 1 for word in words)])
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        return np.array(found.ids, np.uint32), np.diff(np.searchsorted(at, starts))
+        ids = np.array(found.ids, np.uint32)
+        at = np.fromiter((start for start, _ in found.offsets), np.int64, len(ids))
+        return ids, np.diff(np.searchsorted(at, starts))
 
-    def _learn_cores(self, cores: list[bytes]) -> None:
+    def _learn_cores(self, hashes: np.ndarray, cores: list[bytes]) -> None:
+        """Add the ids of ``cores`` to the table; hashes ascend."""
+        all_ids, all_lengths = [], []
         for low in range(0, len(cores), ENCODED_WORDS):
-            part = cores[low : low + ENCODED_WORDS]
-            texts = [core.decode("utf-8", "replace") for core in part]
+            texts = [core.decode("utf-8", "replace") for core in cores[low : low + ENCODED_WORDS]]
             # A space that is not ASCII inside a word, or none but it, is left to the tokenizer alone.
-            odd = [i for i, text in enumerate(texts) if not text.isalnum() and len(text.split()) != 1]
-            ids, lengths = self._encode_words(["" if i in set(odd) else text for i, text in enumerate(texts)] if odd else texts)
+            odd = {i for i, text in enumerate(texts) if not text.isalnum() and len(text.split()) != 1}
+            ids, lengths = self._encode_words(["" if i in odd else text for i, text in enumerate(texts)] if odd else texts)
             if odd:
                 each = np.split(ids, np.cumsum(lengths)[:-1])
                 for i in odd:
                     each[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
                 ids, lengths = np.concatenate(each), np.array([len(x) for x in each])
-            self.cores.update(zip(part, range(len(self.core_lengths), len(self.core_lengths) + len(part))))
-            self.core_offsets = np.concatenate([self.core_offsets, len(self.core_ids) + np.cumsum(lengths) - lengths])
-            self.core_lengths = np.concatenate([self.core_lengths, lengths])
-            self.core_ids = np.concatenate([self.core_ids, ids])
+            all_ids.append(ids)
+            all_lengths.append(lengths)
+        lengths = np.concatenate(all_lengths)
+        offsets = len(self.core_ids) + np.cumsum(lengths) - lengths
+        self.core_ids = np.concatenate([self.core_ids, *all_ids])
+        at = np.searchsorted(self.cores, hashes)
+        self.cores = np.insert(self.cores, at, hashes)
+        self.core_offsets = np.insert(self.core_offsets, at, offsets)
+        self.core_lengths = np.insert(self.core_lengths, at, lengths)
+
+    def _core_slots(self, parts: list[bytes]) -> np.ndarray:
+        """Where each of ``parts`` (none is empty) stands in the table; those that are not in it are learnt."""
+        names = word_hashes(b" ".join(parts))[0]
+        different, first = np.unique(names, return_index=True)
+        new = ~_among(different, self.cores)
+        if new.any():
+            self._learn_cores(different[new], [parts[i] for i in first[new].tolist()])
+        return np.searchsorted(self.cores, names)
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Add the ids of ``words`` to the table."""
-        parts = [self._parts(word) for word in words]
-        self._learn_cores(list({part for pair in parts for part in pair} - self.cores.keys()))
-        slots = np.array([self.cores[part] for pair in parts for part in pair], np.int64)
-        both = self.core_lengths[slots]
-        lengths = both.reshape(-1, 2).sum(axis=1)
+        cores, marks = [], []
+        for word in words:
+            core, mark = self._parts(word)
+            cores.append(core)
+            marks.append(mark)
+        kinds = {mark: i for i, mark in enumerate(sorted(set(marks) - {b""}), 1)}
+        slots = self._core_slots(cores + list(kinds))
+        kinds[b""] = 0  # no marks, no ids
+        ends = np.r_[slots[:1], slots[len(words) :]]
+        kind = np.fromiter(map(kinds.__getitem__, marks), np.int64, len(words))
+        both = np.stack([self.core_lengths[slots[: len(words)]], np.where(kind > 0, self.core_lengths[ends[kind]], 0)], 1)
+        starts = np.stack([self.core_offsets[slots[: len(words)]], self.core_offsets[ends[kind]]], 1)
+        lengths = both.sum(axis=1)
         offsets = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, _gathered(self.core_ids, self.core_offsets[slots], both)])
+        self.flat = np.concatenate([self.flat, _gathered(self.core_ids, starts.ravel(), both.ravel())])
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
         self.offsets, self.lengths = np.insert(self.offsets, at, offsets), np.insert(self.lengths, at, lengths)
@@ -115,11 +148,10 @@ class WordEncoder:
         if not len(hashes):
             return np.zeros(0, np.uint32), starts, starts
         different, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, different), max(len(self.known) - 1, 0))
-        new = self.known[at] != different if len(self.known) else np.ones(len(different), bool)
+        new = ~_among(different, self.known)
         if new.any():
-            self._learn(different[new], [_WORD.match(data, int(i)).group() for i in starts[first[new]]])
-            at = np.searchsorted(self.known, different)
+            self._learn(different[new], [_WORD.match(data, i).group() for i in starts[first[new]].tolist()])
+        at = np.searchsorted(self.known, different)
         lengths = self.lengths[at][back]
         return _gathered(self.flat, self.offsets[at][back], lengths), starts, lengths
 

@@ -1,6 +1,7 @@
 """Packing, mixing, shards and the pipeline."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -33,6 +34,18 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int")
 
 
+def test_plain_words_are_folded_as_bytes():
+    """Words of ASCII letters are most words: none is decoded to be told apart from its marks."""
+    encoder, called = tokens.WordEncoder(PATH), []
+    words = {b"Rivers,": (b"rivers", b","), b"river": (b"river", b""), b"...": (b"...", b""), b"x2.": (b"x2.", b"")}
+    words |= {"É!".encode(): ("É".encode(), b"!"), b"it's.": (b"it's.", b""), b"A.b": (b"A.b", b"")}
+    assert {word: encoder._parts(word) for word in words} == words
+    sys.setprofile(lambda frame, event, arg: called.append(arg.__name__) if event == "c_call" else None)
+    encoder._parts(b"Rivers,")
+    sys.setprofile(None)
+    assert "decode" not in called and "lower" in called
+
+
 def test_words_encode_as_texts_do(texts, ids):
     encoder = tokens.WordEncoder(PATH)
     for i, t in texts:
