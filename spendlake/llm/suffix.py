@@ -7,10 +7,11 @@ document with a smaller doc_id. Strings never cross documents, and are judged on
    block are dealt by their anchor: the 16-byte gram with the least hash in
    the window. Equal windows have equal anchors.
 2. A window whose anchor stands in one document only repeats nowhere. Each block sends its distinct anchors,
-   and learns which are shared, and which stand in many blocks.
+   and learns which are shared, and which stand in many places.
 3. Runs of windows with one shared anchor travel as one piece of text, once for each block,
-   with the least document that holds it. Where an anchor stands in many blocks, its windows
-   travel one by one and are dealt by their own hash, so no anchor makes a large bucket.
+   with the least document that holds it. Where an anchor stands in many blocks and places, its windows
+   travel one by one and are dealt by their own hash, so no anchor makes a large bucket. Others travel as runs,
+   which take a fraction of the bytes, in however many blocks they are.
 4. A bucket of pieces is sorted as suffixes, one range of first bytes at a time:
    by the first ``COVER`` bytes, then ties by the ranks of the
    suffixes at the positions of a difference cover, which are ranked first. For any two suffixes
@@ -41,8 +42,8 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of text in a block, and for each bucket of anchors and of pieces.
 BLOCK_BYTES, ANCHOR_BYTES, PIECE_BYTES = 8 << 20, 16 << 20, 2 << 20
-#: Windows whose anchor stands in more blocks are dealt one by one.
-HOT_BLOCKS = 64
+#: Windows whose anchor stands in more blocks, with more runs than a bucket has room for, are dealt one by one.
+HOT_BLOCKS, HOT_RUNS = 64, 16384
 #: Windows anchored at a time, and suffixes sorted at a time.
 STEP, SORTED = 1 << 20, 1 << 19
 #: A perfect difference set: every shift modulo COVER is a difference of two of its members.
@@ -164,28 +165,28 @@ def bucket_of(identity: np.ndarray, buckets: int) -> np.ndarray:
     return ((identity >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
 
 
-def _anchors(block: Block, buckets: int) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """The runs of a block; its distinct anchors, ascending; whether each stands in two of its documents."""
+def _anchors(block: Block, buckets: int) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a block; its distinct anchors, ascending; whether each stands in two of its documents; its runs."""
     found = block.anchored()
     starts, _, identity = found
     order = np.argsort(identity, kind="stable")
     ordered, owners = identity[order], block.owner(starts)[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
     if not len(first):
-        return found, ordered, np.zeros(0, bool)
+        return found, ordered, np.zeros(0, bool), np.zeros(0, "<u4")
     several = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first)
-    return found, ordered[first], several
+    return found, ordered[first], several, np.diff(np.r_[first, len(ordered)]).astype("<u4")
 
 
-def _shared_anchors(table: pa.Table, hot_blocks: int) -> Iterator[tuple]:
-    """Of a bucket of anchors: for each block, which are shared, and which stand in many blocks."""
-    sent = [unpacked(x.as_py(), "<u8", "u1") for x in table.column("payload")]
-    anchors = [np.cumsum(a, dtype=np.uint64) for a, _ in sent]
+def _shared_anchors(table: pa.Table, hot_blocks: int, hot_runs: int) -> Iterator[tuple]:
+    """Of a bucket of anchors: for each block, which are shared, and which stand in many blocks and places."""
+    sent = [unpacked(x.as_py(), "<u8", "u1", "<u4") for x in table.column("payload")]
+    anchors = [np.cumsum(a, dtype=np.uint64) for a, _, _ in sent]
     distinct, inverse, times = np.unique(np.concatenate(anchors), return_inverse=True, return_counts=True)
     shared = times > 1
-    several = np.concatenate([np.unpackbits(b, count=len(a)) for (_, b), a in zip(sent, anchors)])
+    several = np.concatenate([np.unpackbits(b, count=len(a)) for (_, b, _), a in zip(sent, anchors)])
     shared[inverse[several > 0]] = True
-    hot = times > hot_blocks
+    hot = (times > hot_blocks) & (np.bincount(inverse, np.concatenate([n for _, _, n in sent])) > hot_runs)
     at = 0
     for block, own in zip(table.column("block").to_pylist(), anchors):
         mine = inverse[at : at + len(own)]
@@ -201,7 +202,7 @@ class _Pieces:
         self.rows = {(k, b): x for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")))}
         self.number = table.column("block")[0].as_py()
         self.block = block = Block(self.rows[_TEXT, 0])
-        (starts, counts, identity), anchors, _ = _anchors(block, anchor_buckets)
+        (starts, counts, identity), anchors, _, _ = _anchors(block, anchor_buckets)
         shared, hot = np.zeros((2, len(anchors)), bool)
         bucket = bucket_of(anchors, anchor_buckets)
         for b in np.unique(bucket).tolist():
@@ -406,8 +407,9 @@ def _cleaned(pieces: _Pieces, with_text: bool) -> Iterator[tuple]:
 
 
 def without_repeats(
-    docs: DataFrame, with_text: bool = False, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS
-) -> DataFrame:
+    docs: DataFrame, with_text: bool = False, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS,
+    hot_runs: int = HOT_RUNS,
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row; ``kept``: the bytes left."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("data"))
     size = rows.agg(F.sum(F.length("data"))).first()[0]
@@ -417,15 +419,15 @@ def without_repeats(
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(3)):
-                _, distinct, several = _anchors(Block(payload.as_py()), anchor_buckets)
+                _, distinct, several, times = _anchors(Block(payload.as_py()), anchor_buckets)
                 bucket, out = bucket_of(distinct, anchor_buckets), []
                 for b in np.unique(bucket).tolist():
                     mine = bucket == b
                     steps = np.diff(distinct[mine], prepend=np.uint64(0))
-                    out.append((number, _SHARED, b, packed(steps, np.packbits(several[mine]))))
+                    out.append((number, _SHARED, b, packed(steps, np.packbits(several[mine]), times[mine])))
                 yield arrow_rows(out, _SCHEMA)
 
-    share = lambda table: _shared_anchors(table, hot_blocks)
+    share = lambda table: _shared_anchors(table, hot_blocks, hot_runs)
     shared = staged(runs(text.mapInArrow(anchors, _SCHEMA), ["bucket"], share, _SCHEMA), "suffix-shared")
     # The pieces of a block are found twice, to be sent and to be read: less disk than writing them.
     cut = lambda table: _Pieces(table, anchor_buckets, piece_buckets)

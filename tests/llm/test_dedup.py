@@ -71,6 +71,25 @@ def test_suffix_equals_brute_force(spark, world, block_bytes, hot):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in df.collect())
 
 
+def test_suffix_windows_one_by_one(spark, world):
+    df = suffix.without_repeats(frame(spark, world).repartition(3), False, 4_000, 1, 0)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted((tuple(r)[:5] for r in df.collect()), key=key) == sorted(suffix_truth(world), key=key)
+
+
+def test_suffix_runs_stay_whole_in_many_blocks():
+    """An anchor is not hot for standing in many blocks, but for having more runs than a bucket has room for."""
+    anchors, several = np.array([5 << 16, 9 << 16], np.uint64), np.packbits([False, False])
+
+    def hot(blocks, runs):
+        sent = suffix.packed(np.diff(anchors, prepend=np.uint64(0)), several, np.array([1, runs], "<u4"))
+        rows = pa.table({"block": list(range(blocks)), "bucket": [0] * blocks, "payload": [sent] * blocks})
+        given = list(suffix._shared_anchors(rows, suffix.HOT_BLOCKS, suffix.HOT_RUNS))
+        return {tuple(np.unpackbits(suffix.unpacked(row[3], "u1", "u1")[1], count=2).tolist()) for row in given}
+
+    assert hot(100, 1) == {(0, 0)} and hot(100, 200) == {(0, 1)} and hot(60, 2000) == {(0, 0)}
+
+
 def test_suffix_empty(spark):
     assert suffix.without_repeats(frame(spark, [])).collect() == []
 
