@@ -68,9 +68,13 @@ def canonical_day(text: Column) -> Column:
 
     For canonical text, order as text is order by day, so a bound on this
     column may stand beside the bound on the text.
+
+    A cast takes other forms too; of ten characters, those without a dash at both
+    places, and with a blank or a "T" at the end.
     """
-    day = text.try_cast("date")
-    return F.when((F.length(text) == 10) & (day.cast("string") == text), day)
+    at = lambda i: F.substring(text, i, 1)
+    plain = (F.length(text) == 10) & (at(5) == "-") & (at(8) == "-") & at(10).between("0", "9")
+    return F.when(plain, text.try_cast("date"))
 
 
 def after_lookback(day: Column, today: datetime.date, days: int = 90) -> Column:

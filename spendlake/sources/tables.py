@@ -110,12 +110,11 @@ def with_day(tx: DataFrame) -> DataFrame:
 
     Date text that is no plain day has no day, and is kept under the month ODD_MONTH,
     which every dated query also reads. Rows without a date are kept under NO_MONTH,
-    which no dated query reads.
+    which no dated query reads. The month is cut from the text, so that a day is parsed once, and never printed.
     """
-    day = canonical_day(F.col("tx_date"))
-    month = F.coalesce(F.date_format(day, "yyyy-MM"), F.lit(ODD_MONTH))
+    month = F.when(F.col("tx_day").isNotNull(), F.substring("tx_date", 1, 7)).otherwise(ODD_MONTH)
     month = F.when(F.col("tx_date").isNull(), NO_MONTH).otherwise(month)
-    return tx.withColumn("tx_day", day).withColumn("tx_month", month)
+    return tx.withColumn("tx_day", canonical_day(F.col("tx_date"))).withColumn("tx_month", month)
 
 
 def append_tx(new: DataFrame, path: str, run: str | None = None, keys: Mapping[str, KeySet] | None = None) -> None:

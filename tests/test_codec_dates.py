@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlake.functions import codec, dates
+from spendlake.sources import tables
 from tests.conftest import TODAY
 
 
@@ -81,6 +82,23 @@ def test_canonical_day(column):
     ]
 
 
+def test_a_canonical_day_is_what_its_cast_prints(column, spark, plan):
+    rng, forms = random.Random(8), ["2024-02-29", "0000-12-31", "9999-01-30", "12024-1-05", "2024-1-05 ", "+2024-1-05", "-2024-1-05"]
+    texts = ["2024-01-5 ", "2024-01-5T", "2024-01-5\t", "2024-01-5５", "2024-02-30", "2024-01-T5", "-024-01-05"]
+    for _ in range(3000):
+        text = list(rng.choice(forms))
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(len(text))] = rng.choice(["0", "1", "9", "-", " ", "T", "\t", "é", "", ":", "٣"])
+        texts.append("".join(text))
+    printed = lambda x: x.try_cast("date").cast("string")
+    expected = column(lambda x: F.when((F.length(x) == 10) & (printed(x) == x), printed(x)), texts)
+    assert column(lambda x: dates.canonical_day(x).cast("string"), texts) == expected
+    assert 300 < sum(day is not None for day in expected) < 2000
+    text = spark.range(9).select(F.concat(F.lit("2024-01-0"), "id").alias("tx_date"))
+    text = plan(tables.with_day(text))
+    assert text.count("try_cast(") == 1 and "date_format" not in text
+
+
 def test_lookback_excludes_the_boundary(column):
     days = [datetime.date(2024, 1, 1), datetime.date(2024, 1, 2), None]
     got = column(lambda x: dates.after_lookback(x, TODAY, 90), days, "date")

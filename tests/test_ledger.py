@@ -145,6 +145,14 @@ def test_answers_are_the_same_from_a_ledger(spark, world, ledger):  # noqa: F811
     ledger.append(spark.createDataFrame([], schemas.TX), "again")
 
 
+def test_a_day_of_the_year_0_is_under_its_month(spark, tmp_path):
+    made = Ledger(spark, str(tmp_path)).create()
+    row = lambda i, cents, day: (i, i, "m", cents, "USD", day, "c", 1.0)
+    made.append(spark.createDataFrame([row("t1", 5, "0000-05-05"), row("t2", 7, "0001-05-05")], schemas.TX), "a")
+    questions = [(1, None, "0000-01-01", "0000-12-31", "sum"), (2, "M", "", "0000-12-31", "sum"), (3, "", "0001-01-01", "", "sum")]
+    assert sorted((r.qid, r.total) for r in made.totals(asked(spark, questions)).collect()) == [(1, 5), (2, 5), (3, 7)]
+
+
 def test_three_reads_of_the_transactions(spark, world, tmp_path, monkeypatch):  # noqa: F811
     """What is written or read again on the way comes from three scans; one, of a ledger."""
     questions, rows = world
