@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spendlake import schemas, staging
@@ -224,3 +225,43 @@ def test_landed_files_are_written_where_they_stay(spark, tmp_path):
     )
     landing.land_messages(spark.createDataFrame([], "file string, text string"), f"{tmp_path}/none")
     assert landing.scan_messages(spark, f"{tmp_path}/none", nested=True).count() == 0
+
+
+def spark_scan(spark, folder):
+    """What Spark's reader, which lists the files on the driver, finds."""
+    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
+    return sorted(map(tuple, landing.as_messages(files.text(folder, wholetext=True)).collect()))
+
+
+def test_a_nested_scan_leaves_no_files_to_the_driver(spark, tmp_path):
+    folder = tmp_path / "a b%20é"
+    names = (
+        "a.json b.txt c.JSON .h.json _u.json _u=1.json _metadata.json s/a.json s/t/u.json .hid/a.json _hid/a.json "
+        "_p=1/a.json p=1/a.json _metadata/a.json _common_metadata/_x/a.json q._COPYING_/a.json f.json/a.json "
+        "%41.json \u3000\u2003中😀.json #?&=+,;@$!*'()~^|<>[]{}\\.json \x7f\x85.json .json s/.json"
+    ).split(" ")
+    found = {name: name.encode() for name in [*names, "s p.json"]}
+    found |= {"empty.json": b"", "s/empty.json": b"", "bom.json": b"\xef\xbb\xbfx\r\n", "nul.json": b"a\x00b"}
+    found |= {f"long{i}.json": b"x" * (3 << 20) for i in range(3)}
+    for name, data in found.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(data)
+    (folder / "none").mkdir()
+    for path in (f"{folder}", f"file://{folder}/", f"{folder}/s", f"{folder}/none"):
+        scan = landing.scan_messages(spark, path, nested=True)
+        assert scan.inputFiles() == []
+        assert sorted(map(tuple, scan.collect())) == spark_scan(spark, path)
+    assert len(spark_scan(spark, str(folder))) == 18
+    (folder / "bad.json").write_bytes(b"\xff")
+    assert landing.scan_messages(spark, str(folder), nested=True).filter("text IS NULL").count() == 1
+
+
+def test_spark_reads_nested_folders_that_tasks_do_not_know(spark, tmp_path):
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    (tmp_path / "x" / "y" / "a.json").write_text("{}")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.landed.link./in", f"file://{tmp_path}")
+    for path in ("viewfs://landed/in", f"{tmp_path}/*"):
+        scan = landing.scan_messages(spark, path, nested=True)
+        assert [r.text for r in scan.collect()] == ["{}"] and len(scan.inputFiles()) == 1
+    with pytest.raises(AnalysisException):
+        landing.scan_messages(spark, f"{tmp_path}/none", nested=True)
